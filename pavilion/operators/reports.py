@@ -33,7 +33,7 @@ def _balls(c: str = "total_runs") -> Column:
 
 def match_count(deliveries: DataFrame) -> DataFrame:
     """Exact number of distinct matches, one row."""
-    return deliveries.groupBy("match_id").agg().agg(F.count("match_id").alias("matches"))
+    return deliveries.select("match_id").distinct().agg(F.count("match_id").alias("matches"))
 
 
 def franchises(matches: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Every operator as a query over the driver tables, with its SQL twin."""
 
-from . import history_queries, ingest_queries  # noqa: F401  (they register themselves)
+from . import history_queries, ingest_queries, report_queries  # noqa: F401  (they register themselves)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
