@@ -53,24 +53,6 @@ def with_slot(df: DataFrame) -> DataFrame:
     return df.withColumn("slot", F.shiftright("seq", _POSITION_BITS).cast("int"))
 
 
-def with_rank(df: DataFrame) -> DataFrame:
-    """Dense 0-based position ``rank`` and total ``n_rows`` for a placed, unfiltered table."""
-    sizes = df.groupBy("slot").agg(F.count(F.lit(1)).alias("_size"))
-    # One row per slot from here on; the unpartitioned window never sees more.
-    so_far = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        "slot",
-        F.coalesce(F.sum("_size").over(so_far), F.lit(0)).alias("_start"),
-        F.sum("_size").over(Window.partitionBy()).alias("n_rows"),
-    )
-    in_slot = F.col("seq") - F.shiftleft(F.col("slot").cast("bigint"), _POSITION_BITS)
-    return (
-        df.join(F.broadcast(starts), "slot")  # one row per slot
-        .withColumn("rank", F.col("_start") + in_slot)
-        .drop("_start")
-    )
-
-
 @dataclass(frozen=True)
 class Tail:
     """The last ``n`` values of a column, oldest first; rows where it is NULL do not count."""

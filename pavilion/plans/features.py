@@ -16,12 +16,18 @@ from ..operators.timeline import by_date, placed
 
 def match_features(matches: DataFrame, deliveries: DataFrame,
                    homes: Mapping[str, Sequence[str]] = HOME_CITIES,
-                   slots: int | None = None, chronological: bool = False) -> DataFrame:
-    """One row per match: the match columns plus everything derived from them and before them."""
+                   slots: int | None = None, chronological: bool = False,
+                   keep_position: bool = False) -> DataFrame:
+    """One row per match: the match columns plus everything derived from them and before them.
+
+    ``keep_position`` leaves ``seq`` and ``slot`` in, so a training table built
+    next in the same session need not order the matches again.
+    """
     rows = with_setting(with_result(with_toss_flags(matches)), homes)
     rows = rows.join(phase_totals(deliveries), "match_id", "left")
     ordered = placed(rows, by_date(), slots, label="matches")
-    return with_history(ordered, chronological).drop("seq", "slot")
+    out = with_history(ordered, chronological)
+    return out if keep_position else out.drop("seq", "slot")
 
 
 def feature_tables(matches: DataFrame, deliveries: DataFrame, **options) -> dict[str, DataFrame]:

@@ -32,11 +32,11 @@ def near(c) -> Column:
     return F.rint(c * 1000000.0 + 0.001) / 1000000.0
 
 
-def rounded(df: DataFrame) -> DataFrame:
+def rounded(df: DataFrame, dates_as_text: bool = True) -> DataFrame:
     """Round every double for comparison and show dates as text."""
     kinds = dict(df.dtypes)
     return df.select(*[
         near(F.col(c)).alias(c) if kinds[c] == "double"
-        else F.col(c).cast("string").alias(c) if kinds[c] == "date" else F.col(c)
+        else F.col(c).cast("string").alias(c) if kinds[c] == "date" and dates_as_text else F.col(c)
         for c in df.columns
     ])
