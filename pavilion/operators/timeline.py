@@ -95,35 +95,33 @@ def state_before(
         recent = Window.partitionBy(*keys, slot).orderBy(f"_k_{name}").rangeBetween(-t.n, -1)
         local = local.withColumn(f"_lt_{name}", F.collect_list(f"_t_{name}").over(recent))
 
-    source = local if tails else values
-    own = lambda name: F.when(
-        F.col(f"_t_{name}").isNotNull(), F.array(f"_t_{name}")
-    ).otherwise(F.array().cast(f"array<{values.schema[f'_t_{name}'].dataType.simpleString()}>"))
-    last_row = F.struct(*order)
-    summaries = source.groupBy(*keys, slot).agg(
+    # One summary per (key, slot), straight from the input.  A task gathers values
+    # of one key within one slot, so the size of a slot bounds what it holds.
+    latest = lambda name, n: F.reverse(F.slice(F.sort_array(F.collect_list(
+        F.when(F.col(f"_t_{name}").isNotNull(), F.struct(*order, f"_t_{name}"))
+    ), asc=False), 1, n))
+    summaries = values.groupBy(*keys, slot).agg(
         *[F.sum(f"_s_{name}").alias(f"_s_{name}") for name in sums],
-        *[
-            F.max_by(_last(F.concat(f"_lt_{name}", own(name)), t.n), last_row).alias(f"_t_{name}")
-            for name, t in tails.items()
-        ],
+        *[latest(name, t.n)[f"_t_{name}"].alias(f"_t_{name}") for name, t in tails.items()],
     )
 
-    slots_before = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    # The walk over a key's slots.  An empty slot has no array, and offsets skip it.
+    walk = f"OVER (PARTITION BY {_names(keys)} ORDER BY {_names([slot])}"
     starts = summaries.select(
-        *keys, slot,
-        *[F.coalesce(F.sum(f"_s_{name}").over(slots_before), F.lit(0)).alias(f"_cs_{name}") for name in sums],
+        *keys, slot, *[f"_s_{name}" for name in sums],
         *[F.when(F.size(f"_t_{name}") > 0, F.col(f"_t_{name}")).alias(f"_t_{name}") for name in tails],
-        *[F.count_if(F.size(f"_t_{name}") > 0).over(slots_before).alias(f"_k_{name}") for name in tails],
-    )
-    for name, t in tails.items():
-        recent = Window.partitionBy(*keys).orderBy(f"_k_{name}").rangeBetween(-t.n, -1)
-        starts = starts.withColumn(f"_ct_{name}", F.collect_list(f"_t_{name}").over(recent))
-    starts = starts.select(
-        *keys, slot, *[f"_cs_{name}" for name in sums],
-        *[_last(F.flatten(f"_ct_{name}"), t.n).alias(f"_ct_{name}") for name, t in tails.items()],
+    ).selectExpr(
+        *[_names([k]) for k in (*keys, slot)],
+        *[
+            f"coalesce(sum(_s_{name}) {walk} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _cs_{name}"
+            for name in sums
+        ],
+        *[f"{_earlier_arrays(f'_t_{name}', t.n, walk + ')')} AS _ct_{name}" for name, t in tails.items()],
     )
 
-    return local.join(starts, [*keys, slot]).select(
+    # The rows lie on (keys, slot) already, so only the summaries move, and each
+    # task builds a table of no more than its own (key, slot) groups.
+    return local.join(starts.hint("shuffle_hash"), [*keys, slot]).select(
         *df.columns,
         *[(F.col(f"_ls_{name}") + F.col(f"_cs_{name}")).alias(name) for name in sums],
         *[
@@ -133,5 +131,15 @@ def state_before(
     )
 
 
+def _names(columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
+
+
+def _earlier_arrays(c: str, n: int, over: str) -> str:
+    """The last n arrays before the row, oldest first, as one array."""
+    arrays = ", ".join(f"lag({c}, {i}) IGNORE NULLS {over}" for i in range(n, 0, -1))
+    return f"flatten(array_compact(array({arrays})))"
+
+
 def _last(items: Column, n: int) -> Column:
     return F.slice(items, F.greatest(F.size(items) - (n - 1), F.lit(1)), F.lit(n))
