@@ -34,11 +34,15 @@ def round_even(c: Column | str, digits: int) -> Column:
     return F.rint(_c(c).cast("double") * scale) / scale
 
 
+def _text(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(c: Column | str, table: Mapping[str, str]) -> Column:
     """Translate through a fixed table; names not listed pass through unchanged."""
     c = _c(c)
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.coalesce(F.create_map(*pairs)[c], c)
+    pairs = ", ".join(f"{_text(k)}, {_text(v)}" for k, v in table.items())
+    return F.coalesce(F.expr(f"map({pairs})")[c], c)
 
 
 def canonical_team(c: Column | str) -> Column:
@@ -52,10 +56,10 @@ def canonical_venue(c: Column | str) -> Column:
 def is_home(team: Column | str, city: Column | str,
             homes: Mapping[str, Sequence[str]] = HOME_CITIES) -> Column:
     """1 when ``city`` is a home city of ``team``; unknown team or NULL city gives 0."""
-    pairs = []
-    for name, cities in homes.items():
-        pairs += [F.lit(name), F.array(*[F.lit(x) for x in cities])]
-    return flag(F.array_contains(F.create_map(*pairs)[_c(team)], _c(city)))
+    pairs = ", ".join(
+        f"{_text(name)}, array({', '.join(map(_text, cities))})" for name, cities in homes.items()
+    )
+    return flag(F.array_contains(F.expr(f"map({pairs})")[_c(team)], _c(city)))
 
 
 def season_year(season: Column | str) -> Column:
@@ -74,13 +78,6 @@ def phase_name(over: Column | str, phases=REPORT_PHASES) -> Column:
     return F.when(over.isNotNull(), out.otherwise(last[0]))
 
 
-def phase_rank(name: Column | str, phases=REPORT_PHASES) -> Column:
-    out = F
-    for i, p in enumerate(phases, start=1):
-        out = out.when(_c(name) == p[0], i)
-    return out
-
-
 def left_closed_band(x: Column | str, bands) -> Column:
     """Label of the band with low <= x < high, NULL outside every band."""
     x, out = _c(x), F

@@ -140,9 +140,10 @@ def season_position(placed: DataFrame) -> DataFrame:
     The share needs the season's final size, so it is known only afterwards.
     """
     rows = placed.filter(F.col("season").isNotNull()).select("seq", "season")
-    numbered = state_before(with_slot(rows), ["season"], sums={"earlier": F.lit(1)})
-    sizes = rows.groupBy("season").agg(F.count(F.lit(1)).alias("size"))
-    position = numbered.join(sizes, "season").select(
+    numbered = state_before(
+        with_slot(rows), ["season"], sums={"earlier": F.lit(1)}, totals={"size": "earlier"}
+    )
+    position = numbered.select(
         "seq",
         (F.col("earlier") + 1).cast("int").alias("season_match_number"),
         ((F.col("earlier") + 1) / F.col("size")).alias("season_progress"),

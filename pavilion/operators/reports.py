@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import (
-    clip, flag, left_closed_band, phase_name, phase_rank, right_closed_band, round_even, safe_div,
+    clip, flag, left_closed_band, phase_name, right_closed_band, round_even, safe_div,
 )
 from ..functions.fixed_values import REPORT_PHASES, SCORING_ZONES, TARGET_BANDS
 from .timeline import state_before
@@ -281,14 +281,14 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _pearson(a: str, b: str) -> Column:
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    # NULL when one side never varies.
-    varies = (F.min(F.when(both, x)) < F.max(F.when(both, x))) & (
-        F.min(F.when(both, y)) < F.max(F.when(both, y)))
-    cov = F.covar_pop(x, y)
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.when(varies, F.lit(1.0) if a == b else cov / F.nullif(spread, F.lit(0.0)))
+    """Pearson r over the rows where both are known; NULL when one side never varies there."""
+    both = f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL"
+    x, y = (f"CASE WHEN {both} THEN CAST(`{c}` AS double) END" for c in (a, b))
+    varies = f"min({x}) < max({x}) AND min({y}) < max({y})"
+    r = "1.0D" if a == b else (
+        f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0.0D)"
+    )
+    return F.expr(f"CASE WHEN {varies} THEN {r} END")
 
 
 def pressure_grid(deliveries: DataFrame) -> DataFrame:
@@ -321,17 +321,18 @@ def economy_by_phase(deliveries: DataFrame, n: int = 20, phases=REPORT_PHASES) -
         parts.groupBy("bowler").agg(F.sum("runs").alias("all_runs"), F.sum("balls").alias("all_balls"))
         .orderBy(F.desc("all_balls"), "bowler").limit(n)
     )
-    names = deliveries.sparkSession.range(len(phases)).select(
-        F.element_at(F.array(*[F.lit(p[0]) for p in phases]), (F.col("id") + 1).cast("int")).alias("phase")
-    )
-    grid = F.broadcast(top.crossJoin(F.broadcast(names)))  # at most n rows per phase
-    return (
-        grid.join(parts, ["bowler", "phase"], "left")
-        .select(
-            "bowler", "phase", phase_rank("phase", phases).alias("phase_order"),
-            (safe_div("runs", "balls", fill=None) * 6).alias("economy"),
-            (safe_div("all_runs", "all_balls", fill=None) * 6).alias("overall_economy"),
-        ).orderBy("overall_economy", "bowler", "phase_order")
+    # At most n bowlers are left before anything else moves.
+    kept = parts.join(F.broadcast(top), "bowler").groupBy("bowler", "all_runs", "all_balls").agg(*[
+        F.max(F.when(F.col("phase") == p[0], safe_div("runs", "balls", fill=None) * 6)).alias(f"p{i}")
+        for i, p in enumerate(phases, start=1)
+    ])
+    cells = [
+        F.struct(F.lit(p[0]).alias("phase"), F.lit(i).alias("phase_order"), F.col(f"p{i}").alias("economy"))
+        for i, p in enumerate(phases, start=1)
+    ]
+    overall = (safe_div("all_runs", "all_balls", fill=None) * 6).alias("overall_economy")
+    return kept.select("bowler", overall, F.inline(F.array(*cells))).orderBy(
+        "overall_economy", "bowler", "phase_order"
     )
 
 

@@ -68,14 +68,17 @@ def state_before(
     tails: dict[str, Tail] | None = None,
     order: Sequence[str] = ("seq",),
     slot: str = "slot",
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """State of each key strictly before each row.
 
     Adds one column per entry: for ``sums`` the sum so far (0 at the start), for
-    ``tails`` an array of at most n values.  ``order`` must be total within a
-    key, ``slot`` must be non-decreasing along it, and keys must not be NULL.
+    ``tails`` an array of at most n values.  ``totals`` names columns for the
+    sum over the whole key, later rows included: new column -> name in ``sums``.
+    ``order`` must be total within a key, ``slot`` must be non-decreasing along
+    it, and keys must not be NULL.
     """
-    keys, sums, tails = list(keys), sums or {}, tails or {}
+    keys, sums, tails, totals = list(keys), sums or {}, tails or {}, totals or {}
     values = df.select(
         "*",
         *[F.coalesce(c, F.lit(0)).alias(f"_s_{name}") for name, c in sums.items()],
@@ -116,6 +119,7 @@ def state_before(
             f"coalesce(sum(_s_{name}) {walk} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _cs_{name}"
             for name in sums
         ],
+        *[f"sum(_s_{name}) OVER (PARTITION BY {_names(keys)}) AS _all_{new}" for new, name in totals.items()],
         *[f"{_earlier_arrays(f'_t_{name}', t.n, walk + ')')} AS _ct_{name}" for name, t in tails.items()],
     )
 
@@ -128,6 +132,7 @@ def state_before(
             _last(F.concat(f"_ct_{name}", f"_lt_{name}"), t.n).alias(name)
             for name, t in tails.items()
         ],
+        *[F.col(f"_all_{new}").alias(new) for new in totals],
     )
 
 

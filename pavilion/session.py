@@ -17,6 +17,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        # Building a column expression otherwise walks the Python stack every time.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Small inputs: still give every core a share of the window work.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
