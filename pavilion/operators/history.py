@@ -1,8 +1,9 @@
 """What was known before each match.
 
-All functions take a *placed* match table (see ``timeline.placed``), look only
-at earlier rows, and return one row per ``seq``.  Undecided matches count as
-played but not as won.
+All functions take a *placed* match table (see ``timeline.placed``) and look
+only at earlier rows.  They return one row per ``seq``, or, given ``onto``, add
+their columns to that table (which has ``seq``, ``team1`` and ``team2``) with
+one join.  Undecided matches count as played but not as won.
 """
 
 from __future__ import annotations
@@ -30,16 +31,22 @@ def _by_side(rows: DataFrame, values: list[str]) -> DataFrame:
     return rows.groupBy("seq").agg(F.map_from_entries(F.collect_list(entry)).alias("by_team"))
 
 
-def _for_both(placed: DataFrame, by_side: DataFrame, columns: dict[str, tuple[str, Column]]) -> DataFrame:
+def _attach(placed: DataFrame, onto: DataFrame | None, past: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Left join by ``seq``; the columns fill in what a match without history gets."""
+    rows = placed.select("seq", "team1", "team2") if onto is None else onto
+    keep = ["seq"] if onto is None else onto.columns
+    return rows.join(past, "seq", "left").select(*keep, *[c.alias(n) for n, c in columns.items()])
+
+
+def _for_both(columns: dict[str, tuple[str, Column]]) -> dict[str, Column]:
     """Read each side's value out of the map; ``columns``: pattern -> (value, default)."""
-    joined = placed.select("seq", "team1", "team2").join(by_side, "seq", "left")
-    return joined.select("seq", *[
-        F.coalesce(F.col("by_team")[F.col(f"team{i}")][value], default).alias(pattern.format(i))
+    return {
+        pattern.format(i): F.coalesce(F.col("by_team")[F.col(f"team{i}")][value], default)
         for pattern, (value, default) in columns.items() for i in (1, 2)
-    ])
+    }
 
 
-def head_to_head(placed: DataFrame) -> DataFrame:
+def head_to_head(placed: DataFrame, onto: DataFrame | None = None) -> DataFrame:
     """Earlier meetings of the two teams, whoever was listed first: count, team1 wins, rate."""
     pairs = placed.filter(F.col("team1").isNotNull() & F.col("team2").isNotNull()).select(
         "seq",
@@ -56,15 +63,14 @@ def head_to_head(placed: DataFrame) -> DataFrame:
         F.when(F.col("team1_is_lo"), F.col("lo_wins")).otherwise(F.col("hi_wins")).alias("wins"),
     )
     met, wins = F.coalesce("met", F.lit(0)), F.coalesce("wins", F.lit(0))
-    return placed.select("seq").join(past, "seq", "left").select(
-        "seq",
-        met.cast("bigint").alias("h2h_matches"),
-        wins.cast("bigint").alias("h2h_team1_wins"),
-        safe_div(wins, met, fill=DEFAULT_RATE).alias("h2h_team1_win_rate"),
-    )
+    return _attach(placed, onto, past, {
+        "h2h_matches": met.cast("bigint"),
+        "h2h_team1_wins": wins.cast("bigint"),
+        "h2h_team1_win_rate": safe_div(wins, met, fill=DEFAULT_RATE),
+    })
 
 
-def venue_record(placed: DataFrame) -> DataFrame:
+def venue_record(placed: DataFrame, onto: DataFrame | None = None) -> DataFrame:
     """Each side's win rate in its earlier matches at this venue."""
     team = F.col("team")
     sides = placed.filter(F.col("venue").isNotNull()).select(
@@ -74,13 +80,13 @@ def venue_record(placed: DataFrame) -> DataFrame:
     past = state_before(
         with_slot(sides), ["venue", "team"], sums={"played": F.lit(1), "wins": F.col("won")}
     ).select("seq", "team", safe_div("wins", "played", fill=DEFAULT_RATE).alias("rate"))
-    return _for_both(
-        placed, _by_side(past, ["rate"]), {"team{}_venue_win_rate": ("rate", F.lit(DEFAULT_RATE))}
-    )
+    return _attach(placed, onto, _by_side(past, ["rate"]), _for_both(
+        {"team{}_venue_win_rate": ("rate", F.lit(DEFAULT_RATE))}
+    ))
 
 
-def team_record(placed: DataFrame, form: int = FORM_MATCHES, events: int = EVENT_MATCHES,
-                chronological: bool = False) -> DataFrame:
+def team_record(placed: DataFrame, onto: DataFrame | None = None, form: int = FORM_MATCHES,
+                events: int = EVENT_MATCHES, chronological: bool = False) -> DataFrame:
     """Recent form, bat-first win rate, powerplay runs and death wickets of both sides.
 
     The last two average a team's latest values as first side and as second
@@ -126,15 +132,15 @@ def team_record(placed: DataFrame, form: int = FORM_MATCHES, events: int = EVENT
         mean_of(latest("pp"), DEFAULT_POWERPLAY_RUNS).alias("pp"),
         mean_of(latest("dw"), DEFAULT_DEATH_WICKETS).alias("dw"),
     )
-    return _for_both(placed, _by_side(rates, ["form", "bf", "pp", "dw"]), {
+    return _attach(placed, onto, _by_side(rates, ["form", "bf", "pp", "dw"]), _for_both({
         "team{}_recent_form": ("form", F.lit(DEFAULT_RATE)),
         "team{}_win_after_batting_first": ("bf", F.lit(DEFAULT_RATE)),
         "team{}_avg_pp_runs": ("pp", F.lit(DEFAULT_POWERPLAY_RUNS)),
         "team{}_avg_death_wkts": ("dw", F.lit(DEFAULT_DEATH_WICKETS)),
-    })
+    }))
 
 
-def season_position(placed: DataFrame) -> DataFrame:
+def season_position(placed: DataFrame, onto: DataFrame | None = None) -> DataFrame:
     """Number of the match in its season and its share of the whole season's matches.
 
     The share needs the season's final size, so it is known only afterwards.
@@ -143,18 +149,15 @@ def season_position(placed: DataFrame) -> DataFrame:
     numbered = state_before(
         with_slot(rows), ["season"], sums={"earlier": F.lit(1)}, totals={"size": "earlier"}
     )
-    position = numbered.select(
-        "seq",
-        (F.col("earlier") + 1).cast("int").alias("season_match_number"),
-        ((F.col("earlier") + 1) / F.col("size")).alias("season_progress"),
-    )
-    return placed.select("seq").join(position, "seq", "left")
+    return _attach(placed, onto, numbered.select("seq", "earlier", "size"), {
+        "season_match_number": (F.col("earlier") + 1).cast("int"),
+        "season_progress": (F.col("earlier") + 1) / F.col("size"),
+    })
 
 
 def with_history(placed: DataFrame, chronological: bool = False) -> DataFrame:
-    """All of the above next to the match row; every join is on ``seq``."""
-    out = placed
-    for part in (head_to_head(placed), venue_record(placed),
-                 team_record(placed, chronological=chronological), season_position(placed)):
-        out = out.join(part, "seq")
-    return out
+    """All of the above next to the match row; every join is on ``seq``, so the rows move once."""
+    out = head_to_head(placed, placed)
+    out = venue_record(placed, out)
+    out = team_record(placed, out, chronological=chronological)
+    return season_position(placed, out)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import flag, safe_div
+from ..session import written
 from .timeline import state_before
 
 
@@ -70,6 +71,8 @@ def career_before(rows: DataFrame, placed: DataFrame, player: str, team: str,
         "match_id", "seq", "slot", "innings", F.col(team).alias("team"), F.col(player).alias("player"),
         *[F.col(source).cast("double").alias(f"_{name}") for name, source in metrics.items()],
     )
+    # Read three times below; written, the players meet their matches only once.
+    dated = written(dated, "career")
     sums = {}
     for name in metrics:
         sums[f"sum_{name}"] = F.col(f"_{name}")
