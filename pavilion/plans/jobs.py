@@ -1,4 +1,4 @@
-"""The four jobs a user runs, from folder to folder."""
+"""The jobs a user runs, from folder to folder."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from ..sources.documents import delivery_rows, match_rows, quarantined, read_doc
 from ..sources.tables import feature_summary, read_deliveries, read_matches, run_summary, write_table
 from . import models, serving, training
 from .features import feature_tables
+from .reports import all_reports
 
 
 def ingest(spark: SparkSession, documents: str, out: str, single: str | None = None,
@@ -32,6 +33,16 @@ def build_features(spark: SparkSession, tables: str, out: str, form: str = "parq
     return feature_summary(spark.read.parquet(f"{out}/match"))
 
 
+def build_reports(spark: SparkSession, tables: str, out: str, form: str = "parquet") -> list[str]:
+    """Write every report of the two base tables; returns their names."""
+    reports = all_reports(
+        read_matches(spark, f"{tables}/matches", form), read_deliveries(spark, f"{tables}/deliveries", form)
+    )
+    for name, table in reports.items():
+        write_table(table, f"{out}/{name}")
+    return list(reports)
+
+
 def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(spark.read.parquet(f"{path}/{name}") for name in ("match", "batting", "bowling"))
 
