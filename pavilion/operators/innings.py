@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,19 +12,22 @@ from ..functions.fixed_values import FEATURE_PHASES
 from .timeline import state_before
 
 
-def running_totals(deliveries: DataFrame, wickets: str = "is_wicket") -> DataFrame:
+def running_totals(deliveries: DataFrame, wickets: str = "is_wicket",
+                   order: Sequence[str] = ("over", "ball"), slot: str = "over") -> DataFrame:
     """Cumulative runs, wickets and legal balls in an innings, this ball included.
 
     For delivery tables that come without them (the document reader already
     has them).  An innings is walked over by over, so even a key that is no
-    real innings spreads over its overs instead of filling one task.
+    real innings spreads over its overs instead of filling one task.  Where a
+    single over may be that large, place the deliveries (``timeline.placed``)
+    and pass ``order=["seq"], slot="slot"``.
     """
     legal = flag((F.col("wides") == 0) & (F.col("noballs") == 0))
     before = state_before(
         deliveries.drop("cumulative_runs", "cumulative_wickets", "legal_balls"),
         ["match_id", "innings"],
         sums={"_runs": F.col("total_runs"), "_wickets": F.col(wickets), "_legal": legal},
-        order=["over", "ball"], slot="over",
+        order=order, slot=slot,
     )
     return before.select(
         "*",

@@ -6,6 +6,8 @@ All scan the big table once, combine on the map side, and do whatever follows
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -336,17 +338,16 @@ def economy_by_phase(deliveries: DataFrame, n: int = 20, phases=REPORT_PHASES) -
     )
 
 
-def partnerships(deliveries: DataFrame) -> DataFrame:
+def partnerships(deliveries: DataFrame, order: Sequence[str] = ("over", "ball"), slot: str = "over") -> DataFrame:
     """Runs of every first-innings partnership, numbered by the wicket that ends it.
 
     A stand that ends in a wicket counts even without runs, the unfinished last
-    one only with runs.
+    one only with runs.  ``order`` and ``slot`` as in ``innings.running_totals``.
     """
-    first = deliveries.filter(F.col("innings") == 1).select(
-        "match_id", "over", "ball", "total_runs", "is_wicket"
-    )
+    needed = dict.fromkeys(["match_id", *order, slot, "total_runs", "is_wicket"])
+    first = deliveries.filter(F.col("innings") == 1).select(*needed)
     numbered = state_before(
-        first, ["match_id"], sums={"down": F.col("is_wicket")}, order=["over", "ball"], slot="over"
+        first, ["match_id"], sums={"down": F.col("is_wicket")}, order=order, slot=slot
     )
     stands = numbered.groupBy("match_id", (F.col("down") + 1).cast("int").alias("wicket_num")).agg(
         F.sum("total_runs").alias("runs"), F.max("is_wicket").alias("ended")

@@ -68,6 +68,15 @@ def test_running_totals(balls):
     assert [r.legal_balls for r in got] == [1, 1, 2, 3, 4, 4]
 
 
+def test_running_totals_of_placed_deliveries(balls):
+    known = balls.filter("batter is not null")
+    ordered = placed(known, [F.col(c) for c in ("match_id", "innings", "over", "ball")], 3)
+    a = running_totals(ordered, order=["seq"], slot="slot").drop("seq", "slot")
+    b = running_totals(known)
+    assert ordered.select("slot").distinct().count() == 3
+    assert sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
+
+
 def test_super_overs_stay_out_of_the_score(balls):
     r = innings_scores(balls).first()
     assert (r.innings1_runs, r.innings2_runs, r.innings1_wickets) == (15, 2, 3)
