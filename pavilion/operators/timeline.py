@@ -17,6 +17,7 @@ summaries has at most one row per slot and key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
+ROWS_PER_SLOT = 250_000
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, row in partition below
 
 
@@ -33,20 +35,24 @@ def by_date(date: str = "date", match_id: str = "match_id") -> list[Column]:
     return [F.col(date).asc_nulls_last(), F.col(match_id).cast("string").asc()]
 
 
-def placed(df: DataFrame, order: Sequence[Column], slots: int | None = None, label: str = "timeline") -> DataFrame:
+def placed(df: DataFrame, order: Sequence[Column], slots: int | None = None,
+           rows: int | None = None, label: str = "timeline") -> DataFrame:
     """Add ``seq`` (increasing along ``order``) and ``slot`` (a contiguous run of it).
 
     One range shuffle.  The result is written, because a position must not
-    change when a lost task is run again.  ``slots`` fixes the number of runs;
-    by default Spark's shuffle sizing decides, so runs stay of one size as data
-    grows.
+    change when a lost task is run again.  The number of slots grows with the
+    table, so their size does not; ``rows`` may give the size (or a bound of it)
+    where counting ``df`` would be dear, ``slots`` the number itself.
     """
-    if slots:
-        ordered = df.repartitionByRange(slots, *order).sortWithinPartitions(*order)
-    else:
-        ordered = df.orderBy(*order)
-    ordered = written(ordered.withColumn("seq", F.monotonically_increasing_id()), label)
-    return with_slot(ordered)
+    if slots is None:
+        slots = _slots_for(df.count() if rows is None else rows, df.sparkSession.sparkContext.defaultParallelism)
+    ordered = df.repartitionByRange(slots, *order).sortWithinPartitions(*order)
+    return with_slot(written(ordered.withColumn("seq", F.monotonically_increasing_id()), label))
+
+
+def _slots_for(rows: int, cores: int) -> int:
+    """Slots of at most about ROWS_PER_SLOT rows; a small table still feeds the cores."""
+    return max(1, math.ceil(rows / ROWS_PER_SLOT), min(cores, rows // 5_000))
 
 
 def with_slot(df: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ def match_features(matches: DataFrame, deliveries: DataFrame,
     """
     rows = with_setting(with_result(with_toss_flags(matches)), homes)
     rows = rows.join(phase_totals(deliveries), "match_id", "left")
-    ordered = placed(rows, by_date(), slots, label="matches")
+    # The join keeps one row per match, so the matches say how many there are.
+    ordered = placed(rows, by_date(), slots, rows=matches.count(), label="matches")
     out = with_history(ordered, chronological)
     return out if keep_position else out.drop("seq", "slot")
 

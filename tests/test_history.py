@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pavilion.operators import history
-from pavilion.operators.timeline import Tail, by_date, placed, state_before
+from pavilion.operators.timeline import ROWS_PER_SLOT, Tail, _slots_for, by_date, placed, state_before
 
 DDL = ("match_id string, date string, season string, venue string, team1 string, team2 string, team1_won int, "
        "innings1_team string, innings2_team string, pp_runs_inn1 int, pp_runs_inn2 int, "
@@ -128,3 +128,8 @@ def test_state_before_matches_a_plain_walk(spark, slots):
         past = [v for _, kk, v in data[:i] if kk == k]
         known = [v for v in past if v is not None]
         assert got[key] == (sum(known), len(past), known[-5:])
+
+
+def test_slots_grow_with_the_table():
+    assert [_slots_for(n, 8) for n in (0, 4_999, 10_000, 10**6)] == [1, 1, 2, 8]
+    assert _slots_for(250 * ROWS_PER_SLOT, 8) == 250
