@@ -12,7 +12,7 @@ from ..operators.reports import top_bowlers
 from ..schemas import DELIVERIES, MATCHES
 from ..session import shared_folder, written
 from ..sources.documents import delivery_rows, match_rows, parse_documents, quarantined, usable
-from ..sources.tables import coerce, feature_summary, read_csv, read_deliveries, run_summary, write_table
+from ..sources.tables import feature_summary, read_csv, read_deliveries, run_summary, write_table
 from . import tables
 from .registry import register, rounded
 from .sql_views import even, near, query
