@@ -1,6 +1,7 @@
 """Small column expressions shared by the operators.
 
-All of them stay inside whole-stage code generation: no Python runs per row.
+All are built-in expressions: no Python runs per row.  A projection with a higher-order function (``mean_of``) is
+planned outside whole-stage code generation.
 """
 
 from __future__ import annotations
@@ -22,6 +23,12 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
+def whole(text: Column) -> Column:
+    """A whole number carried as text, "20.0" included; anything else is NULL."""
+    number = text.try_cast("double")
+    return F.when(~F.isnan(number), number).try_cast("int")
+
+
 def safe_div(a: Column | str, b: Column | str, fill: float | None = 0.0) -> Column:
     """a / b, or ``fill`` where b is zero.  NULL stays NULL."""
     a, b = _c(a).cast("double"), _c(b)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import flag
@@ -13,18 +13,25 @@ from .timeline import state_before
 
 
 def running_totals(deliveries: DataFrame, wickets: str = "is_wicket",
-                   order: Sequence[str] = ("over", "ball"), slot: str = "over") -> DataFrame:
+                   order: Sequence[str] = ("over", "ball"), slot: str | None = None) -> DataFrame:
     """Cumulative runs, wickets and legal balls in an innings, this ball included.
 
     For delivery tables that come without them (the document reader already
-    has them).  An innings is walked over by over, so even a key that is no
-    real innings spreads over its overs instead of filling one task.  Where a
-    single over may be that large, place the deliveries (``timeline.placed``)
-    and pass ``order=["seq"], slot="slot"``.
+    has them).  The rules of the game bound an innings to some hundred balls, so
+    this is one window over it; balls without match or innings are left out.
+    Where the key may be no real innings, place the deliveries
+    (``timeline.placed``) and pass ``order=["seq"], slot="slot"``.
     """
     legal = flag((F.col("wides") == 0) & (F.col("noballs") == 0))
+    balls = deliveries.drop("cumulative_runs", "cumulative_wickets", "legal_balls")
+    if slot is None:
+        so_far = Window.partitionBy("match_id", "innings").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        total = lambda c: F.coalesce(F.sum(c).over(so_far), F.lit(0))
+        return balls.where("match_id IS NOT NULL AND innings IS NOT NULL").select(
+            "*", total("total_runs").alias("cumulative_runs"), total(wickets).alias("cumulative_wickets"),
+            total(legal).alias("legal_balls"))
     before = state_before(
-        deliveries.drop("cumulative_runs", "cumulative_wickets", "legal_balls"),
+        balls,
         ["match_id", "innings"],
         sums={"_runs": F.col("total_runs"), "_wickets": F.col(wickets), "_legal": legal},
         order=order, slot=slot,

@@ -1,7 +1,7 @@
 """The aggregates behind the nineteen charts, each as a DataFrame.
 
-All scan the big table once, combine on the map side, and do whatever follows
-(shares, top lists, dense grids, windows) on the aggregate.
+All combine on the map side and do whatever follows (shares, top lists, dense grids, windows) on the aggregate.  Most
+scan the deliveries once; those that also need the number of matches scan one column of them again.
 """
 
 from __future__ import annotations
@@ -247,6 +247,7 @@ def powerplay_trend(points: DataFrame) -> DataFrame:
     )
 
 
+# The columns of the correlation matrix.
 CORRELATED = [
     "innings1_runs", "innings2_runs", "innings1_wickets", "innings2_wickets",
     "pp_runs_inn1", "death_runs_inn1", "toss_bat_first", "team1_won",
@@ -338,17 +339,19 @@ def economy_by_phase(deliveries: DataFrame, n: int = 20, phases=REPORT_PHASES) -
     )
 
 
-def partnerships(deliveries: DataFrame, order: Sequence[str] = ("over", "ball"), slot: str = "over") -> DataFrame:
+def partnerships(deliveries: DataFrame, order: Sequence[str] = ("over", "ball"), slot: str | None = None) -> DataFrame:
     """Runs of every first-innings partnership, numbered by the wicket that ends it.
 
     A stand that ends in a wicket counts even without runs, the unfinished last
     one only with runs.  ``order`` and ``slot`` as in ``innings.running_totals``.
     """
-    needed = dict.fromkeys(["match_id", *order, slot, "total_runs", "is_wicket"])
-    first = deliveries.filter(F.col("innings") == 1).select(*needed)
-    numbered = state_before(
-        first, ["match_id"], sums={"down": F.col("is_wicket")}, order=order, slot=slot
-    )
+    needed = dict.fromkeys(["match_id", *order, *([slot] if slot else []), "total_runs", "is_wicket"])
+    first = deliveries.filter((F.col("innings") == 1) & F.col("match_id").isNotNull()).select(*needed)
+    if slot is None:
+        earlier = Window.partitionBy("match_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        numbered = first.withColumn("down", F.coalesce(F.sum("is_wicket").over(earlier), F.lit(0)))
+    else:
+        numbered = state_before(first, ["match_id"], sums={"down": F.col("is_wicket")}, order=order, slot=slot)
     stands = numbered.groupBy("match_id", (F.col("down") + 1).cast("int").alias("wicket_num")).agg(
         F.sum("total_runs").alias("runs"), F.max("is_wicket").alias("ended")
     )

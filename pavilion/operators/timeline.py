@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..session import written
 
 ROWS_PER_SLOT = 250_000
+LEAST_ROWS_PER_SLOT = 5_000  # layout only: results do not depend on the number of slots
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, row in partition below
 
 
@@ -52,7 +53,7 @@ def placed(df: DataFrame, order: Sequence[Column], slots: int | None = None,
 
 def _slots_for(rows: int, cores: int) -> int:
     """Slots of at most about ROWS_PER_SLOT rows; a small table still feeds the cores."""
-    return max(1, math.ceil(rows / ROWS_PER_SLOT), min(cores, rows // 5_000))
+    return max(1, math.ceil(rows / ROWS_PER_SLOT), min(cores, rows // LEAST_ROWS_PER_SLOT))
 
 
 def with_slot(df: DataFrame) -> DataFrame:
@@ -92,26 +93,20 @@ def state_before(
     )
     here = Window.partitionBy(*keys, slot).orderBy(*order)
     earlier = here.rowsBetween(Window.unboundedPreceding, -1)
+    by_row = f"OVER (PARTITION BY {_names([*keys, slot])} ORDER BY {_names(order)})"
 
     local = values.select(
         "*",
         *[F.coalesce(F.sum(f"_s_{name}").over(earlier), F.lit(0)).alias(f"_ls_{name}") for name in sums],
-        *[F.count(f"_t_{name}").over(earlier).alias(f"_k_{name}") for name in tails],
+        # All tails share the one ordering: a lag that skips NULL finds the i-th last value that counts.
+        *[F.expr(f"array_compact(array({_lags(f'_t_{name}', t.n, by_row)}))").alias(f"_lt_{name}") for name, t in tails.items()],
     )
-    for name, t in tails.items():
-        # _k numbers the counted values, so "the last n" is a range of it; the
-        # rows in between that do not count are NULL and collect_list skips them.
-        recent = Window.partitionBy(*keys, slot).orderBy(f"_k_{name}").rangeBetween(-t.n, -1)
-        local = local.withColumn(f"_lt_{name}", F.collect_list(f"_t_{name}").over(recent))
-
-    # One summary per (key, slot), straight from the input.  A task gathers values
-    # of one key within one slot, so the size of a slot bounds what it holds.
-    latest = lambda name, n: F.reverse(F.slice(F.sort_array(F.collect_list(
-        F.when(F.col(f"_t_{name}").isNotNull(), F.struct(*order, f"_t_{name}"))
-    ), asc=False), 1, n))
-    summaries = values.groupBy(*keys, slot).agg(
+    # One summary per (key, slot): the sums, and what the tails are after its last row.
+    # Both come from the windowed rows, which lie on (key, slot) already.
+    after = lambda name, n: _last(F.concat(f"_lt_{name}", F.array_compact(F.array(f"_t_{name}"))), n)
+    summaries = local.groupBy(*keys, slot).agg(
         *[F.sum(f"_s_{name}").alias(f"_s_{name}") for name in sums],
-        *[latest(name, t.n)[f"_t_{name}"].alias(f"_t_{name}") for name, t in tails.items()],
+        *[F.max_by(after(name, t.n), F.struct(*order)).alias(f"_t_{name}") for name, t in tails.items()],
     )
 
     # The walk over a key's slots.  An empty slot has no array, and offsets skip it.
@@ -129,9 +124,8 @@ def state_before(
         *[f"{_earlier_arrays(f'_t_{name}', t.n, walk + ')')} AS _ct_{name}" for name, t in tails.items()],
     )
 
-    # The rows lie on (keys, slot) already, so only the summaries move, and each
-    # task builds a table of no more than its own (key, slot) groups.
-    return local.join(starts.hint("shuffle_hash"), [*keys, slot]).select(
+    # The rows lie on (keys, slot) already, so only the summaries move.
+    return local.join(starts, [*keys, slot]).select(
         *df.columns,
         *[(F.col(f"_ls_{name}") + F.col(f"_cs_{name}")).alias(name) for name in sums],
         *[
@@ -148,8 +142,11 @@ def _names(columns: Sequence[str]) -> str:
 
 def _earlier_arrays(c: str, n: int, over: str) -> str:
     """The last n arrays before the row, oldest first, as one array."""
-    arrays = ", ".join(f"lag({c}, {i}) IGNORE NULLS {over}" for i in range(n, 0, -1))
-    return f"flatten(array_compact(array({arrays})))"
+    return f"flatten(array_compact(array({_lags(c, n, over)})))"
+
+
+def _lags(c: str, n: int, over: str) -> str:
+    return ", ".join(f"lag({c}, {i}) IGNORE NULLS {over}" for i in range(n, 0, -1))
 
 
 def _last(items: Column, n: int) -> Column:

@@ -8,7 +8,9 @@ boosting; a forest without bootstrap and gradient-boosted trees stand in.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -23,13 +25,16 @@ from pyspark.ml.regression import (
     GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel,
     RandomForestRegressionModel, RandomForestRegressor,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
+from ..operators.timeline import placed, state_before
 from ..session import written
 from . import training
 
 FOLDS = 5
+BINS = 255  # candidate splits of a column
 
 
 # ---------------------------------------------------------------- preparation
@@ -43,17 +48,37 @@ def _as_inputs(table: DataFrame, categorical: list[str], numeric: list[str]) ->
     })
 
 
-def preparation(categorical: list[str], numeric: list[str], median_error: float = 0.001) -> Pipeline:
-    """Median impute and standardise numbers, one-hot categories (an unknown one is all zeros).
+def medians(table: DataFrame, numeric: list[str]) -> DataFrame:
+    """One row with the exact median of every column, NULL and NaN left out; the mean of the two middle values of an even number.
 
-    ``median_error`` is the rank error allowed for the median: exact on small
-    tables, and on large ones the quantile summary stays small.
+    Works on counts per distinct value, walked column by column in slots, so no
+    task holds a column.  A column without any value has the median 0.
     """
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in numeric]))
+    counts = table.select(pairs).where("value IS NOT NULL AND NOT isnan(value)").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    walked = state_before(placed(counts, [F.asc("name"), F.asc("value")], label="medians"), ["name"],
+                          sums={"before": F.col("n")}, totals={"rows": "before"})
+    rank = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("n"))
+    low, high = F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2)
+    middle = walked.groupBy("name").agg(
+        ((F.max(F.when(rank(low), F.col("value"))) + F.max(F.when(rank(high), F.col("value")))) / 2).alias("median"))
+    return middle.agg(*[F.coalesce(F.max(F.when(F.col("name") == c, F.col("median"))), F.lit(0.0)).alias(c) for c in numeric])
+
+
+def prepare(table: DataFrame, categorical: list[str], numeric: list[str]) -> PipelineModel:
+    """Fit ``preparation`` with exact medians: the imputer learns the mean of one row, which holds them."""
+    imputer, *rest = preparation(categorical, numeric).getStages()
+    imputer = imputer.fit(medians(table, numeric))
+    return PipelineModel([imputer, *Pipeline(stages=rest).fit(imputer.transform(table)).stages])
+
+
+def preparation(categorical: list[str], numeric: list[str]) -> Pipeline:
+    """Impute and standardise numbers, one-hot categories (an unknown one is all zeros); fitted by ``prepare``."""
     filled = [f"{c}_filled" for c in numeric]
     index = [f"{c}_index" for c in categorical]
     hot = [f"{c}_hot" for c in categorical]
     return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=numeric, outputCols=filled, relativeError=median_error),
+        Imputer(strategy="mean", inputCols=numeric, outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="numbers"),
         StandardScaler(withMean=True, withStd=True, inputCol="numbers", outputCol="scaled"),
         StringIndexer(inputCols=categorical, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
@@ -67,33 +92,36 @@ def preparation(categorical: list[str], numeric: list[str], median_error: float
 
 @dataclass(frozen=True)
 class Sizes:
-    """How large the ensembles are; the defaults are the full models."""
+    """How large the ensembles are; the defaults are the full models.  ``fits`` run at the same time."""
 
     trees: int = 300
     rounds: int = 300
-    max_depth: int | None = None  # caps every learner's depth when set
     seed: int = 42
+    fits: int = 4
 
-    def depth(self, full: int) -> int:
-        return min(full, self.max_depth) if self.max_depth else full
+
+def _side_by_side(spark: SparkSession, calls: list[Callable], fits: int) -> list:
+    """Results of independent fits, a few at a time: each is many small jobs that leave most of a cluster idle."""
+    with ThreadPoolExecutor(max(1, fits)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(c)) for c in calls]]
 
 
 def _classifiers(s: Sizes) -> dict:
-    forest = dict(numTrees=s.trees, maxDepth=s.depth(8), minInstancesPerNode=10,
+    forest = dict(numTrees=s.trees, maxDepth=8, minInstancesPerNode=10, maxBins=BINS,
                   featureSubsetStrategy="sqrt", seed=s.seed)
     return {
         "rf": RandomForestClassifier(**forest),
-        "gb": GBTClassifier(maxIter=s.rounds, maxDepth=s.depth(5), minInstancesPerNode=15,
+        "gb": GBTClassifier(maxIter=s.rounds, maxDepth=5, minInstancesPerNode=15, maxBins=BINS,
                             stepSize=0.05, seed=s.seed),
         "et": RandomForestClassifier(bootstrap=False, **forest),
     }
 
 
 def _regressors(s: Sizes) -> dict:
-    forest = dict(numTrees=s.trees, maxDepth=s.depth(10), minInstancesPerNode=8, seed=s.seed)
+    forest = dict(numTrees=s.trees, maxDepth=10, minInstancesPerNode=8, maxBins=BINS, seed=s.seed)
     return {
         "rf": RandomForestRegressor(featureSubsetStrategy="sqrt", **forest),
-        "gb": GBTRegressor(maxIter=s.rounds, maxDepth=s.depth(6), minInstancesPerNode=12,
+        "gb": GBTRegressor(maxIter=s.rounds, maxDepth=6, minInstancesPerNode=12, maxBins=BINS,
                            stepSize=0.05, seed=s.seed),
         # Without bootstrap and with all features the trees would be one and
         # the same; training each on its own 80% sets them apart.
@@ -202,29 +230,36 @@ def fit(spec: Spec, train: DataFrame, sizes: Sizes = Sizes(), folds: int = FOLDS
     to go back to the raw tables if executors are lost.
     """
     inputs = _as_inputs(train, spec.categorical, spec.numeric)
-    prepare = preparation(spec.categorical, spec.numeric).fit(inputs)
-    ready = prepare.transform(spec.folds(inputs, folds)).select("label", "features", "fold")
+    prepared = prepare(inputs, spec.categorical, spec.numeric)
+    ready = prepared.transform(spec.folds(inputs, folds)).select("label", "features", "fold")
     ready = written(ready, f"{spec.name}-prepared")
 
-    model = StackedModel(spec, prepare)
+    model = StackedModel(spec, prepared)
     meta_input = out_of_fold(spec, ready, sizes, folds)
-    model.bases = {n: e.fit(ready) for n, e in spec.learners(sizes).items()}
-    rows = _base_vector(model.bases).transform(meta_input)
-    n = ready.count()
-    common = dict(featuresCol="base_vector", labelCol="label", elasticNetParam=0.0,
-                  regParam=1.0 / n, standardization=False, maxIter=1000)
-    model.meta = (LogisticRegression(**common) if spec.classifies else LinearRegression(**common)).fit(rows)
+    learners = spec.learners(sizes)
+    model.bases = dict(zip(learners, _side_by_side(ready.sparkSession, [partial(e.fit, ready) for e in learners.values()], sizes.fits), strict=True))
+    model.meta = fit_meta(meta_input, list(learners), spec.classifies)
     return model
 
 
+def fit_meta(rows: DataFrame, bases: list[str], classifies: bool):
+    """The linear model above: logistic or ridge regression with a penalty of 1 on ``base_<name>`` columns and ``label``."""
+    common = dict(featuresCol="base_vector", labelCol="label", elasticNetParam=0.0,
+                  regParam=1.0 / rows.count(), standardization=False, maxIter=1000, tol=1e-10)
+    return (LogisticRegression(**common) if classifies else LinearRegression(**common)).fit(_base_vector(bases).transform(rows))
+
+
 def out_of_fold(spec: Spec, ready: DataFrame, sizes: Sizes, folds: int = FOLDS) -> DataFrame:
     """Base predictions for every row by models that have not seen its fold."""
+    todo = [(i, name, learner) for i in range(folds) for name, learner in spec.learners(sizes).items()]
+    calls = [partial(e.fit, ready.filter(F.col("fold") != i)) for i, _, e in todo]
+    models = _side_by_side(ready.sparkSession, calls, sizes.fits)
     parts = None
     for i in range(folds):
-        seen, held = ready.filter(F.col("fold") != i), ready.filter(F.col("fold") == i)
-        for name, learner in spec.learners(sizes).items():
-            held = _score_with(learner.fit(seen), held, name, spec.classifies)
-        part = held.select("label", "fold", *[f"base_{n}" for n in spec.learners(sizes)])
+        held = ready.filter(F.col("fold") == i)
+        for (k, name, _), model in zip(todo, models, strict=True):
+            held = _score_with(model, held, name, spec.classifies) if k == i else held
+        part = held.drop("features")
         parts = part if parts is None else parts.unionByName(part)
     return written(parts, f"{spec.name}-out-of-fold")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import canonical_team, canonical_venue, first_seen, flag
+from ..functions.expressions import canonical_team, canonical_venue, first_seen, flag, whole
 from ..schemas import DELIVERIES, DOCUMENT_WITH_ERRORS, MATCHES
 
 
@@ -34,11 +34,15 @@ def parse_documents(texts: DataFrame, match_id: str = "match_id", text: str = "t
     """Parse JSON texts held in a column, e.g. many documents compacted into Parquet.
 
     Returns (match_id, doc, reason): ``reason`` is NULL for a usable document.
+    The parser stops after the first value of a text; that the text is one object
+    and nothing else is seen by reading it as the only element of a list.
     """
-    doc = F.from_json(
+    read = F.from_json(
         F.col(text), DOCUMENT_WITH_ERRORS,
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "allowSingleQuotes": "false"},
     )
+    alone = (F.json_array_length(F.concat(F.lit("["), F.col(text), F.lit("]"))) == 1) & F.col(text).rlike(r"^\s*\{")
+    doc = F.when(alone, read)
     # Opening a one-element array keeps the parse in one place: a plain projection
     # would be copied into every later filter and column, and each copy parses again.
     parsed = texts.select(F.col(match_id).alias("match_id"), F.explode(F.array(doc)).alias("doc"))
@@ -114,16 +118,16 @@ def match_rows(documents: DataFrame) -> DataFrame:
         "toss_winner": canonical_team(info["toss"]["winner"]),
         "toss_decision": info["toss"]["decision"],
         "winner": canonical_team(F.coalesce(info["outcome"]["winner"], info["outcome"]["result"])),
-        "win_by_runs": info["outcome"]["by"]["runs"],
-        "win_by_wickets": info["outcome"]["by"]["wickets"],
+        "win_by_runs": whole(info["outcome"]["by"]["runs"]),
+        "win_by_wickets": whole(info["outcome"]["by"]["wickets"]),
         "player_of_match": F.when(F.size(info["player_of_match"]) > 0, named),
         "umpire1": at(info["officials"]["umpires"], 0),
         "umpire2": at(info["officials"]["umpires"], 1),
-        "match_number": info["event"]["match_number"],
+        "match_number": whole(info["event"]["match_number"]),
         "event_name": info["event"]["name"],
         "match_type": info["match_type"],
-        "overs": info["overs"],
-        "balls_per_over": info["balls_per_over"],
+        "overs": whole(info["overs"]),
+        "balls_per_over": whole(info["balls_per_over"]),
         "data_version": meta["data_version"],
     }
     for i, inn in enumerate(innings, start=1):

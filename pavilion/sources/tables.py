@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import season_year
+from ..functions.fixed_values import FEATURE_GROUPS
 from ..schemas import DELIVERIES, MATCHES, ddl
 
 
@@ -24,15 +27,21 @@ def coerce(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, schema: dict[str, str]) -> DataFrame:
-    """Scan a CSV export: read as text under declared columns, then coerce."""
-    as_text = ddl(dict.fromkeys(schema, "string"))
-    # Quotes inside a quoted field are doubled, and columns are found by header name.
+def read_csv(spark: SparkSession, path: str, schema: dict[str, str], multi_line: bool = False) -> DataFrame:
+    """Scan a CSV export: read as text, take columns by header name, then coerce.
+
+    The header line gives the order; a column that is not there is NULL, one that
+    is not asked for is not parsed.  All files of a folder need the same header.
+    ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
+    """
+    first = spark.read.text(path).first()
+    header = next(csv.reader([first[0]])) if first else []
+    # Quotes inside a quoted field are doubled.
     raw = (
-        spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
-        .schema(as_text).csv(path)
-    )
-    return coerce(raw, schema)
+        spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).option("multiLine", multi_line)
+        .schema(ddl(dict.fromkeys(header, "string"))).csv(path)
+    ) if header else spark.createDataFrame([], ddl(dict.fromkeys(schema, "string")))
+    return coerce(raw.withColumns({c: F.lit(None).cast("string") for c in schema if c not in raw.columns}), schema)
 
 
 def read_matches(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
@@ -53,6 +62,7 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", partition_by: s
     """Write a table as Parquet, or as CSV with a header for exchange.
 
     Rows leave as the plan holds them: no repartition, hence no shuffle for a sink.
+    A line break inside a field is quoted; such a file is read with ``multi_line``.
     """
     writer = df.write.mode("overwrite")
     if partition_by:
@@ -73,26 +83,6 @@ def run_summary(documents: DataFrame, deliveries: DataFrame) -> DataFrame:
     return docs.crossJoin(F.broadcast(balls))  # one row each
 
 
-# The printed groups of match features.
-FEATURE_GROUPS = {
-    "Target / Result": ["target", "score_diff", "run_rate_inn1", "run_rate_inn2", "team1_won", "win_method"],
-    "Toss": ["toss_winner_is_team1", "toss_bat_first", "toss_winner_batted"],
-    "Powerplay": ["pp_runs_inn1", "pp_wickets_inn1", "pp_runs_inn2", "pp_wickets_inn2"],
-    "Middle Overs": ["mid_runs_inn1", "mid_wickets_inn1", "mid_runs_inn2", "mid_wickets_inn2"],
-    "Death Overs": ["death_runs_inn1", "death_wickets_inn1", "death_runs_inn2", "death_wickets_inn2"],
-    "Boundaries": ["fours_inn1", "sixes_inn1", "dot_balls_inn1", "fours_inn2", "sixes_inn2", "dot_balls_inn2"],
-    "Head-to-Head": ["h2h_matches", "h2h_team1_wins", "h2h_team1_win_rate"],
-    "Venue": ["team1_venue_win_rate", "team2_venue_win_rate"],
-    "Recent Form": ["team1_recent_form", "team2_recent_form"],
-    "Bat-First Win Rate": ["team1_win_after_batting_first", "team2_win_after_batting_first"],
-    "Avg Powerplay Runs": ["team1_avg_pp_runs", "team2_avg_pp_runs"],
-    "Avg Death Wickets": ["team1_avg_death_wkts", "team2_avg_death_wkts"],
-    "Home Advantage": ["is_home_team1", "is_home_team2"],
-    "Season Progress": ["season_match_number", "season_progress"],
-    "Impact Player Era": ["is_impact_player_era"],
-}
-
-
 def feature_summary(features: DataFrame) -> DataFrame:
     """Which feature columns exist, by group, with the rows and values behind each."""
     present = [(g, c) for g, cols in FEATURE_GROUPS.items() for c in cols if c in features.columns]

@@ -93,11 +93,14 @@ _DUEL_COLUMNS = ["match_id", "season", "date", "venue", "team1", "winner", "inni
 
 @register(query(["duels"], f"""
 SELECT match_id, season, CASE WHEN CAST(match_id AS BIGINT) % 31 <> 0 THEN CAST(date AS VARCHAR) END AS date,
-  venue, team1, winner, innings1_runs, innings2_runs, win_by_runs,
+  venue, team1, winner, innings1_runs, innings2_runs, win_by_runs, CAST(NULL AS VARCHAR) AS umpire1,
   CASE WHEN CAST(match_id AS BIGINT) % 29 <> 0 THEN CAST(match_id AS BIGINT) % 74 END AS match_number,
   CASE WHEN season IS NOT NULL THEN CAST(season[1:4] AS INTEGER) END AS season_year FROM duels"""))
 def csv_scan(spark, sf_dir):
-    """Matches through the CSV sink and back; text that is no date or number becomes NULL."""
+    """Matches through the CSV sink and back, columns in another order, one of them unasked with line breaks, one missing.
+
+    Text that is no date or number becomes NULL.
+    """
     number = F.col("match_id").cast("bigint")
     messy = tables.duels(spark, sf_dir).select(
         "match_id", "season",
@@ -108,8 +111,9 @@ def csv_scan(spark, sf_dir):
         F.when(number % 29 == 0, "Final").otherwise((number % 74).cast("string")).alias("match_number"),
     )
     path = written_path(spark, "matches-csv")
-    write_table(messy, path, form="csv")
-    back = read_csv(spark, path, {c: MATCHES[c] for c in _DUEL_COLUMNS})
+    other_order = messy.select(*reversed(messy.columns), F.concat(F.lit('a "note"\n, of '), "match_id").alias("note"))
+    write_table(other_order, path, form="csv")
+    back = read_csv(spark, path, {c: MATCHES[c] for c in [*_DUEL_COLUMNS, "umpire1"]}, multi_line=True)
     return rounded(back.withColumn("season_year", season_year("season")))
 
 

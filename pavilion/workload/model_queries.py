@@ -359,10 +359,6 @@ def score_verdicts(spark, sf_dir):
 
 # ---------------------------------------------------------------- models (no SQL twin)
 
-# Small ensembles keep the queries short; the full sizes are the defaults of the API.
-_SMALL = models.Sizes(trees=8, rounds=4, max_depth=4)
-
-
 def _table(spark, sf_dir, which):
     make = training.winner_table if which is models.WINNER else training.score_table
     return written(make(*_features(spark, sf_dir)), f"{which.name}-table")
@@ -372,38 +368,38 @@ def _table(spark, sf_dir, which):
 def winner_model(spark, sf_dir):
     """Fit the stacked winner model on all matches before the hold-out and score the hold-out."""
     train, test = training.split(_table(spark, sf_dir, models.WINNER))
-    model = models.fit(models.WINNER, train, _SMALL)
+    model = models.fit(models.WINNER, train)
     return model.transform(test).select("match_id", "label", "probability", "prediction")
 
 
 @register()
 def score_model(spark, sf_dir):
     train, test = training.split(_table(spark, sf_dir, models.SCORE))
-    model = models.fit(models.SCORE, train, _SMALL)
+    model = models.fit(models.SCORE, train)
     return model.transform(test).select("match_id", "label", "prediction")
 
 
 @register()
 def model_importances(spark, sf_dir):
     table = _table(spark, sf_dir, models.WINNER)
-    return models.fit(models.WINNER, training.split(table)[0], _SMALL).importances(table, 20)
+    return models.fit(models.WINNER, training.split(table)[0]).importances(table, 20)
 
 
 @register()
 def score_cross_validation(spark, sf_dir):
     train, _ = training.split(_table(spark, sf_dir, models.SCORE))
-    return models.cross_validate(models.SCORE, train, models.Sizes(trees=2, rounds=1, max_depth=3))
+    return models.cross_validate(models.SCORE, train)
 
 
 @register()
 def fixture_predictions(spark, sf_dir):
     """Both models, trained on everything before the hold-out, applied to all asked fixtures."""
     tabs = _features(spark, sf_dir)
-    winner = models.fit(models.WINNER, training.split(training.winner_table(*tabs))[0], _SMALL)
+    winner = models.fit(models.WINNER, training.split(training.winner_table(*tabs))[0])
     table = written(training.score_table(*tabs), "score-table")
     train, test = training.split(table)
-    score = models.fit(models.SCORE, train, _SMALL)
+    score = models.fit(models.SCORE, train)
     scored = written(score.transform(test), "score-test")
-    mae = metrics.regression_report(scored).select(F.col("mae").alias("cv_mean"))
-    metadata = metrics.residual_metadata(scored, table, mae)
+    unknown = spark.range(1).select(F.lit(None).cast("double").alias("cv_mean"))  # no cross-validation is run here
+    metadata = metrics.residual_metadata(scored, table, unknown)
     return serving.predict(_asked(spark, sf_dir), *tabs, winner, score, metadata, homes=tables.FIXTURE_HOMES)

@@ -153,7 +153,7 @@ _INNINGS = f"""transform(sequence(0, cast(k % 3 AS int)), i -> named_struct(
 
 
 def scorecards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(match_id, text): match documents as JSON, some of them broken."""
+    """(match_id, text): match documents as JSON, some of them broken, some odd where nothing is read."""
     pick = lambda names, n: f"element_at(array({', '.join(repr(x) for x in names)}), cast({n} + 1 AS int))"
     orders = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS k", "o_custkey AS c", "o_orderstatus AS status", "to_date(o_orderdate) AS day",
@@ -180,5 +180,15 @@ def scorecards(spark: SparkSession, sf_dir: str) -> DataFrame:
       'meta', named_struct('data_version', if(k % 2 = 0, '1.0.0', '1.1.0')),
       'info', {info}, 'innings', {_INNINGS}))"""
     return base.selectExpr("cast(k AS string) AS match_id", "k", f"{document} AS text").selectExpr(
-        "match_id", "if(k % 50 = 0, left(text, length(text) - 10), text) AS text"
+        "match_id", """CASE k % 50
+          WHEN 0 THEN left(text, length(text) - 10)
+          WHEN 1 THEN concat(text, ' trailing')
+          WHEN 2 THEN concat(text, chr(10), text)
+          WHEN 3 THEN replace(text, '"', "'")
+          WHEN 4 THEN regexp_replace(text, '"match_number":[0-9]+', '"match_number":"Final"')
+          WHEN 5 THEN replace(text, '"overs":20,', '"overs":20.0,')
+          WHEN 6 THEN replace(text, '"info":{', '"info":{"players":["x"],')
+          WHEN 7 THEN replace(text, '"meta":{', '"meta":{"revision":"r1",')
+          WHEN 8 THEN concat('[', text, ']')
+          ELSE text END AS text"""
     )

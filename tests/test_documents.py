@@ -137,3 +137,31 @@ def test_ingest_job(spark, folder, tmp_path, form):
     assert m["none"].win_by_runs is None and len(m) == 5
     d = read_deliveries(spark, f"{tmp_path}/deliveries", form)
     assert d.columns == list(DELIVERIES) and d.agg({"total_runs": "sum"}).first()[0] == 22
+
+
+GOOD = json.dumps(DOCS["runs"])
+KEPT = {
+    "number": GOOD.replace('"match_number": 3', '"match_number": "Final"'),
+    "overs": GOOD.replace('"overs": 20', '"overs": 20.0'),
+    "revision": GOOD.replace('{"meta": {', '{"meta": {"revision": "r1", "created": 5, '),
+    "players": GOOD.replace('"players": {"Delhi Daredevils": ["A", "B"]}', '"players": ["A", "B"]'),
+    "padded": f" \n{GOOD}\n ",
+}
+REFUSED = {
+    "trailing": GOOD + " trailing", "comma": GOOD + ",", "two": GOOD + "\n" + GOOD, "quotes": GOOD.replace('"', "'"),
+    "list": f"[{GOOD}]", "empty": "", "number": "7", "null": "null", "nothing": None,
+}
+
+
+def test_odd_values_that_are_only_carried_keep_the_document(spark):
+    docs = parse_documents(spark.createDataFrame(list(KEPT.items()), "match_id string, text string"))
+    assert quarantined(docs).count() == 0
+    got = {r.match_id: r for r in match_rows(usable(docs)).collect()}
+    assert {k: (r.match_number, r.overs, r.innings1_runs) for k, r in got.items()} == {
+        k: (None if k == "number" else 3, 20, got["padded"].innings1_runs) for k in KEPT}
+    assert delivery_rows(usable(docs)).groupBy("match_id").count().select("count").distinct().count() == 1
+
+
+def test_a_text_that_is_not_one_object_is_refused(spark):
+    docs = parse_documents(spark.createDataFrame(list(REFUSED.items()), "match_id string, text string"))
+    assert {r.match_id: r.reason for r in quarantined(docs).collect()} == dict.fromkeys(REFUSED, "malformed json")

@@ -66,7 +66,7 @@ def test_reports(spark, place):
 
 
 def test_train_and_predict(spark, place):
-    tiny = models.Sizes(trees=1, rounds=1, max_depth=2)
+    tiny = models.Sizes(trees=1, rounds=1)
     winner = jobs.train_winner(spark, f"{place}/features", f"{place}/models", tiny, folds=2)
     assert winner["cv"].count() == 2 and 0 <= winner["auc"].first().auc <= 1
     assert {r["class"] for r in winner["report"].collect()} >= {"0", "1", "accuracy"}

@@ -9,7 +9,7 @@ from pavilion.operators import metrics
 from pavilion.operators.timeline import by_date, placed
 from pavilion.plans import models, serving, training
 
-TINY = models.Sizes(trees=4, rounds=2, max_depth=3)
+TINY = models.Sizes(trees=4, rounds=2)
 
 
 def contiguous(n, k):
@@ -101,7 +101,7 @@ def test_score_model_and_cross_validation(spark):
     scored = models.fit(models.SCORE, df, TINY).transform(df)
     report = metrics.regression_report(scored).first()
     assert 0 < report.r2 <= 1 and report.mae <= report.rmse
-    cv = models.cross_validate(models.SCORE, df, models.Sizes(trees=1, rounds=1, max_depth=2), folds=2)
+    cv = models.cross_validate(models.SCORE, df, models.Sizes(trees=1, rounds=1), folds=2)
     assert [r.fold for r in cv.orderBy("fold").collect()] == [0, 1]
     s = models.cv_summary(cv).first()
     assert s.cv_mean > 0 and s.cv_std >= 0
@@ -195,3 +195,13 @@ def test_prediction_without_score_model(spark, state):
     assert (v.predicted_score, v.score_low, v.score_high) == (150, 130, 170)
     assert v.verdict == ("above par" if 150 > v.par_score else "below par" if 150 < v.par_score else "at par")
     assert len(full) == 2 and not full["nowhere"].is_venue_specific
+
+
+def test_medians_are_exact(spark):
+    import statistics
+
+    values = [(float(k * k % 97), None if k % 5 else float(k), float("nan"), 1.0) for k in range(101)] + [(5.0, 3.0, None, 2.0)]
+    table = spark.createDataFrame(values, "a double, b double, c double, d double")
+    got = models.medians(table, ["a", "b", "c", "d"]).first()
+    want = [statistics.median(v for v in col if v is not None and v == v) for col in list(zip(*values))[:2]]
+    assert list(got) == [*want, 0.0, 1.0]

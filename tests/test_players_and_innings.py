@@ -130,3 +130,26 @@ def test_career_means_and_strength(rows):
     sides = {"team1": {"team_batting_sr": "sr", "team_bowling_econ": "econ"}}
     got = {x.match_id: (x.sr, x.econ) for x in with_strength(matches, strength, sides).collect()}
     assert got["3"] == (137.5, 6.0) and got["2"][1] is None
+
+
+def _count(df, node):
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    return plan.count(node)
+
+
+def test_an_innings_is_one_scan_and_one_shuffle(spark, tmp_path):
+    from pavilion.operators.innings import running_totals
+    from pavilion.operators.reports import partnerships
+    from pavilion.schemas import DELIVERIES, ddl
+
+    path = f"{tmp_path}/deliveries"
+    spark.createDataFrame([], ddl(DELIVERIES)).write.parquet(path)
+    balls = spark.read.parquet(path)
+    totals = running_totals(balls)
+    assert (_count(totals, "FileScan"), _count(totals, "Exchange")) == (1, 1)
+    assert (_count(partnerships(balls), "FileScan"), _count(partnerships(balls), "Exchange")) == (1, 1)
