@@ -14,9 +14,12 @@ from .reports import all_reports
 
 
 def ingest(spark: SparkSession, documents: str, out: str, single: str | None = None,
-           form: str = "parquet") -> DataFrame:
-    """Match documents -> ``matches``, ``deliveries`` and ``quarantine``; returns the run summary."""
-    parsed = written(read_documents(spark, documents, single), "documents")  # parse each text once
+           form: str = "parquet", **layout) -> DataFrame:
+    """Match documents -> ``matches``, ``deliveries`` and ``quarantine``; returns the run summary.
+
+    ``layout`` goes to ``read_documents``.
+    """
+    parsed = written(read_documents(spark, documents, single, **layout), "documents")  # parse each text once
     good = usable(parsed)
     write_table(match_rows(good), f"{out}/matches", form)
     write_table(delivery_rows(good), f"{out}/deliveries", form)

@@ -17,17 +17,17 @@ from ..schemas import DELIVERIES, DOCUMENT_WITH_ERRORS, MATCHES
 # ---------------------------------------------------------------- scan
 
 
-def read_documents(spark: SparkSession, path: str, single: str | None = None) -> DataFrame:
-    """One row per ``*.json`` file under ``path`` (or only the file ``single``)."""
-    files = (
-        spark.read.option("pathGlobFilter", single or "*.json")
-        .text(path, wholetext=True)
-        .select(
-            F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("match_id"),
-            F.col("value").alias("text"),
-        )
-    )
-    return parse_documents(files)
+def read_documents(spark: SparkSession, path: str, single: str | None = None,
+                   files: str = "*.json", key: str = r"([^/]+)\.json$", nested: bool = False) -> DataFrame:
+    """One row per file under ``path`` whose name matches ``files`` (or only the file ``single``).
+
+    The first group of ``key`` in a file's path is its match id; a folder per match
+    is read by ``files="*", key=r"/match_id=([^/]+)/", nested=True``.
+    """
+    reader = spark.read.option("pathGlobFilter", single or files).option("recursiveFileLookup", nested)
+    texts = reader.text(path, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), key, 1).alias("match_id"), F.col("value").alias("text"))
+    return parse_documents(texts)
 
 
 def parse_documents(texts: DataFrame, match_id: str = "match_id", text: str = "text") -> DataFrame:

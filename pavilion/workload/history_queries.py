@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import history
 from ..operators.match_rows import with_result
 from ..operators.players import BATTING_CAREER, BOWLING_CAREER, batting_features, bowling_features, career_before, team_strength
 from ..operators.timeline import by_date, placed
+from ..plans import jobs
 from ..plans.features import match_features
+from ..schemas import DELIVERIES, MATCHES
+from ..sources.tables import write_table
 from . import tables
-from .ingest_queries import BATTING_SQL, BOWLING_SQL, PHASE_SQL
+from .ingest_queries import BATTING_SQL, BOWLING_SQL, PHASE_SQL, written_path
 from .registry import register, rounded
 from .sql_views import near, query
 
@@ -146,6 +151,19 @@ def match_feature_table(spark, sf_dir):
     return rounded(features(spark, sf_dir))
 
 
+@register(query(["fixtures"], f"""
+SELECT * REPLACE (CAST(date AS VARCHAR) AS date, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _BIG)})
+FROM ({FEATURES_SQL})""", **FEATURE_CTES))
+def built_match_features(spark, sf_dir):
+    """Base tables on disk through the feature job, its match table read back."""
+    base, out = written_path(spark, "tables"), written_path(spark, "features")
+    for name, table, kinds in (("matches", tables.fixtures(spark, sf_dir), MATCHES), ("deliveries", tables.balls(spark, sf_dir), DELIVERIES)):
+        columns = [(F.col(c) if c in table.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
+        write_table(table.select(*columns), f"{base}/{name}")
+    jobs.build_features(spark, base, out, homes=tables.FIXTURE_HOMES)
+    return rounded(spark.read.parquet(f"{out}/match").select(*features(spark, sf_dir).columns))
+
+
 def features(spark, sf_dir):
     return match_features(tables.fixtures(spark, sf_dir), tables.balls(spark, sf_dir), tables.FIXTURE_HOMES)
 

@@ -9,10 +9,11 @@ from ..operators.innings import innings_scores, phase_totals, running_totals
 from ..operators.match_rows import with_result, with_setting, with_toss_flags
 from ..operators.players import batting_features, bowling_features
 from ..operators.reports import top_bowlers
+from ..plans import jobs
 from ..schemas import DELIVERIES, MATCHES
 from ..session import shared_folder, written
 from ..sources.documents import delivery_rows, match_rows, parse_documents, quarantined, usable
-from ..sources.tables import feature_summary, read_csv, read_deliveries, run_summary, write_table
+from ..sources.tables import feature_summary, read_csv, read_deliveries, read_matches, run_summary, write_table
 from . import tables
 from .registry import register, rounded
 from .sql_views import even, near, query
@@ -87,6 +88,53 @@ def written_path(spark, label):
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def _document_files(spark, sf_dir):
+    """A folder per match with one document each."""
+    path = written_path(spark, "documents-files")
+    tables.fixture_documents(spark, sf_dir).write.partitionBy("match_id").text(path)
+    return path
+
+
+_LAYOUT = dict(files="part-*", key=r"/match_id=([^/]+)/", nested=True)
+
+
+def _ingested(spark, sf_dir):
+    out = written_path(spark, "tables")
+    jobs.ingest(spark, _document_files(spark, sf_dir), out, **_LAYOUT)
+    return out
+
+
+_FILE_MATCHES = f"""SELECT match_id, season, CAST(date AS VARCHAR) AS date, venue, city, team1, team2, toss_winner, toss_decision,
+  innings1_team, CAST(innings1_runs AS BIGINT) AS innings1_runs, CAST(innings1_wickets AS BIGINT) AS innings1_wickets,
+  innings2_team, CAST(innings2_runs AS BIGINT) AS innings2_runs, CAST(innings2_wickets AS BIGINT) AS innings2_wickets,
+  winner, CAST(win_by_runs AS BIGINT) AS win_by_runs, CAST(win_by_wickets AS BIGINT) AS win_by_wickets,
+  {', '.join(f'CAST(NULL AS VARCHAR) AS {c}' for c in ('player_of_match', 'umpire1', 'umpire2', 'event_name', 'match_type', 'data_version'))},
+  {', '.join(f'CAST(NULL AS BIGINT) AS {c}' for c in ('match_number', 'balls_per_over'))}, 20 AS overs FROM fixtures"""
+
+
+@register(query(["fixtures"], _FILE_MATCHES))
+def ingested_matches(spark, sf_dir):
+    """Document files through the ingest job, all 27 columns of the match sink read back."""
+    return rounded(read_matches(spark, f"{_ingested(spark, sf_dir)}/matches"))
+
+
+@register(query(["running_balls"], f"""
+SELECT {', '.join(c for c in DELIVERIES if c not in ('in_powerplay', 'cumulative_runs', 'cumulative_wickets', 'fielder'))},
+  CAST(NULL AS VARCHAR) AS fielder, {_SUMS},
+  CASE WHEN over - 1 + ball / 10.0::DOUBLE BETWEEN 0.1::DOUBLE AND 5.9::DOUBLE THEN 1 ELSE 0 END AS in_powerplay FROM running_balls"""))
+def ingested_deliveries(spark, sf_dir):
+    """The same, all 24 columns of the delivery sink."""
+    return read_deliveries(spark, f"{_ingested(spark, sf_dir)}/deliveries")
+
+
+@register(query(["fixtures"], f"SELECT * FROM ({_FILE_MATCHES}) WHERE match_id = '7'"))
+def ingested_single_file(spark, sf_dir):
+    """One match's file, named by its folder."""
+    out = written_path(spark, "single")
+    jobs.ingest(spark, f"{_document_files(spark, sf_dir)}/match_id=7", out, **_LAYOUT)
+    return rounded(read_matches(spark, f"{out}/matches"))
+
+
 _DUEL_COLUMNS = ["match_id", "season", "date", "venue", "team1", "winner", "innings1_runs", "innings2_runs",
                  "win_by_runs", "match_number"]
 

@@ -124,6 +124,26 @@ def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fixture_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(match_id, text): the matches of ``balls`` as nested documents."""
+    wicket = "if(is_wicket = 1, array(named_struct('kind', wicket_kind, 'player_out', player_out)), NULL)"
+    balls_ = balls(spark, sf_dir).selectExpr("match_id", "innings", "batting_team", "over", "ball", f"""named_struct(
+      'batter', batter, 'bowler', bowler, 'non_striker', non_striker,
+      'runs', named_struct('batter', batter_runs, 'extras', extras, 'total', total_runs),
+      'extras', named_struct('wides', wides, 'noballs', noballs), 'wickets', {wicket}) AS d""")
+    overs = balls_.groupBy("match_id", "innings", "batting_team", "over").agg(F.sort_array(F.collect_list(F.struct("ball", "d"))).alias("balls"))
+    innings = overs.selectExpr("match_id", "innings", "batting_team", "named_struct('over', over - 1, 'deliveries', balls.d) AS o")
+    innings = innings.groupBy("match_id", "innings", "batting_team").agg(F.sort_array(F.collect_list("o")).alias("overs"))
+    innings = innings.selectExpr("match_id", "innings", """named_struct(
+      'team', batting_team, 'powerplays', array(named_struct('from', 0.1D, 'to', 5.9D)), 'overs', overs) AS i""")
+    played = innings.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("innings", "i"))).alias("innings"))
+    return fixtures(spark, sf_dir).join(played, "match_id").selectExpr("match_id", """to_json(named_struct('info', named_struct(
+      'season', season, 'dates', array(cast(date AS string)), 'venue', venue, 'city', city, 'teams', array(team1, team2),
+      'toss', named_struct('winner', toss_winner, 'decision', toss_decision),
+      'outcome', named_struct('winner', if(winner IN (team1, team2), winner, NULL), 'result', if(winner IN (team1, team2), NULL, winner),
+        'by', named_struct('runs', win_by_runs, 'wickets', win_by_wickets)), 'overs', overs), 'innings', innings.i)) AS text""")
+
+
 # Names that exercise the rename tables, in cyclic use.
 CARD_TEAMS_A = ["Kings XI Punjab", "Mumbai Indians", "Delhi Daredevils", "Chennai Super Kings",
                 "Rising Pune Supergiant"]
