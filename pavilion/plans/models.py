@@ -40,7 +40,7 @@ BINS = 255  # candidate splits of a column
 # ---------------------------------------------------------------- preparation
 
 
-def _as_inputs(table: DataFrame, categorical: list[str], numeric: list[str]) -> DataFrame:
+def as_inputs(table: DataFrame, categorical: list[str], numeric: list[str]) -> DataFrame:
     """Numbers as doubles, NULL categories as a category of their own."""
     return table.withColumns({
         **{c: F.col(c).cast("double") for c in numeric},
@@ -175,7 +175,7 @@ class StackedModel:
     def transform(self, table: DataFrame) -> DataFrame:
         """Add ``prediction`` and, for the winner, ``probability`` of class 1."""
         spec = self.spec
-        df = self.prepare.transform(_as_inputs(table, spec.categorical, spec.numeric))
+        df = self.prepare.transform(as_inputs(table, spec.categorical, spec.numeric))
         for name, model in self.bases.items():
             df = _score_with(model, df, name, spec.classifies)
         df = _base_vector(self.bases).transform(df)
@@ -207,7 +207,7 @@ class StackedModel:
     def importances(self, df: DataFrame, top: int | None = None) -> DataFrame:
         """(feature, importance) of the forest, named from the prepared column's metadata."""
         spec, spark = self.spec, df.sparkSession
-        prepared = self.prepare.transform(_as_inputs(df, spec.categorical, spec.numeric))
+        prepared = self.prepare.transform(as_inputs(df, spec.categorical, spec.numeric))
         attrs = prepared.schema["features"].metadata["ml_attr"]["attrs"]
         names = {a["idx"]: a["name"] for kind in attrs.values() for a in kind}
         # The scaled block carries positions only; its order is that of the numeric inputs.
@@ -229,7 +229,7 @@ def fit(spec: Spec, train: DataFrame, sizes: Sizes = Sizes(), folds: int = FOLDS
     The prepared rows are written once: eighteen fits read them, and none has
     to go back to the raw tables if executors are lost.
     """
-    inputs = _as_inputs(train, spec.categorical, spec.numeric)
+    inputs = as_inputs(train, spec.categorical, spec.numeric)
     prepared = prepare(inputs, spec.categorical, spec.numeric)
     ready = prepared.transform(spec.folds(inputs, folds)).select("label", "features", "fold")
     ready = written(ready, f"{spec.name}-prepared")
@@ -243,9 +243,13 @@ def fit(spec: Spec, train: DataFrame, sizes: Sizes = Sizes(), folds: int = FOLDS
 
 
 def fit_meta(rows: DataFrame, bases: list[str], classifies: bool):
-    """The linear model above: logistic or ridge regression with a penalty of 1 on ``base_<name>`` columns and ``label``."""
+    """The linear model above: logistic or ridge regression with a penalty of 1 on ``base_<name>`` columns and ``label``.
+
+    Linear regression scales the label to deviation 1 before it adds the penalty, so the penalty is given in deviations.
+    """
+    n, deviation = rows.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
     common = dict(featuresCol="base_vector", labelCol="label", elasticNetParam=0.0,
-                  regParam=1.0 / rows.count(), standardization=False, maxIter=1000, tol=1e-10)
+                  regParam=1.0 / n if classifies else (deviation or 1.0) / n, standardization=False, maxIter=1000, tol=1e-10)
     return (LogisticRegression(**common) if classifies else LinearRegression(**common)).fit(_base_vector(bases).transform(rows))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import metrics, par
@@ -357,6 +361,69 @@ def score_verdicts(spark, sf_dir):
         "par_score", "venue_matches", "verdict", "favours")
 
 
+# ---------------------------------------------------------------- parts of the models with an SQL twin
+
+_NUMBERS = ["pp_runs_inn1", "pp_runs_inn2", "innings2_runs", "overs"]
+_FILLED = {c: f"coalesce({c}, (SELECT median({c}) FROM duels))::DOUBLE" for c in _NUMBERS}
+
+
+@register(query(["duels"], f"""
+SELECT match_id, {', '.join(f'{near(f"{c}_filled")} AS {c}_filled' for c in _NUMBERS)},
+  {', '.join(f'{near(f"({c}_filled - avg({c}_filled) OVER ()) / stddev_samp({c}_filled) OVER ()")} AS {c}_scaled' for c in _NUMBERS)},
+  CAST(dense_rank() OVER (ORDER BY coalesce(venue, 'missing')) - 1 AS DOUBLE) AS venue_index,
+  CAST(dense_rank() OVER (ORDER BY coalesce(city, 'missing')) - 1 AS DOUBLE) AS city_index
+FROM (SELECT match_id, venue, city, {', '.join(f'{x} AS {c}_filled' for c, x in _FILLED.items())} FROM duels)"""))
+def prepared_inputs(spark, sf_dir):
+    """Median, mean and deviation of numbers and places of categories, as the models see them."""
+    kinds = ["venue", "city"]
+    rows = models.as_inputs(tables.duels(spark, sf_dir).select("match_id", *kinds, *_NUMBERS), kinds, _NUMBERS)
+    out = models.prepare(rows, kinds, _NUMBERS).transform(rows).withColumn("s", vector_to_array("scaled"))
+    return rounded(out.select("match_id", *[f"{c}_filled" for c in _NUMBERS],
+                              *[F.col("s")[i].alias(f"{c}_scaled") for i, c in enumerate(_NUMBERS)], "venue_index", "city_index"))
+
+
+def _vectors(rows):
+    """Made inputs of a model: two numbers of the match id."""
+    n = F.col("match_id").cast("bigint")
+    return rows.withColumn("features", array_to_vector(F.array((n % 17).cast("double"), (n % 5).cast("double"))))
+
+
+@register(query(["duels"], _LINE.replace("AS fold", "AS fold, CAST(1 AS BIGINT) AS predictions"), decided=_DECIDED,
+                line="""SELECT label, (row_number() OVER (ORDER BY first_pos, pos) - 1) % 5 AS fold
+                        FROM (SELECT *, min(pos) OVER (PARTITION BY label) AS first_pos FROM decided)""",
+                ends="""SELECT label, fold, sum(n) OVER (PARTITION BY label ORDER BY fold) AS until
+                        FROM (SELECT label, fold, count(*) AS n FROM line GROUP BY ALL)"""))
+def out_of_fold_cover(spark, sf_dir):
+    """Every row is predicted once, by models that have not seen its fold; linear base learners."""
+    spec = replace(models.WINNER, learners=lambda _: {"rf": LogisticRegression(), "gb": LogisticRegression(regParam=0.1)})
+    ready = written(_vectors(training.stratified_folds(_decided(spark, sf_dir))).select("match_id", "label", "features", "fold"), "cover")
+    rows = models.out_of_fold(spec, ready, models.Sizes())
+    return rows.where("base_rf IS NOT NULL AND base_gb IS NOT NULL").groupBy("match_id", "fold").agg(F.count(F.lit(1)).alias("predictions"))
+
+
+_BASE_SQL = """SELECT innings1_runs::DOUBLE AS y, (CAST(match_id AS BIGINT) % 83)::DOUBLE AS a,
+  (innings1_runs + CAST(match_id AS BIGINT) % 31)::DOUBLE AS b FROM duels"""
+# The closed form of two centred columns: (C + I / n) w = c, with C and c covariances over the rows.
+_RIDGE = """SELECT (va + 1.0::DOUBLE / n) AS p, vab AS q, (vb + 1.0::DOUBLE / n) AS r, cy_a AS s, cy_b AS t, ma, mb, my FROM (
+  SELECT count(*) AS n, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS vab, covar_pop(a, y) AS cy_a, covar_pop(b, y) AS cy_b,
+    avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM base)"""
+
+
+@register(query(["duels"], f"""
+SELECT {near('wa')} AS weight_rf, {near('wb')} AS weight_gb, {near('my - wa * ma - wb * mb')} AS intercept
+FROM (SELECT *, (s * r - t * q) / (p * r - q * q) AS wa, (t * p - s * q) / (p * r - q * q) AS wb FROM ridge)""",
+                base=_BASE_SQL, ridge=_RIDGE))
+def stacking_meta(spark, sf_dir):
+    """The ridge regression above made base predictions."""
+    n = F.col("match_id").cast("bigint")
+    rows = tables.duels(spark, sf_dir).select(
+        F.col("innings1_runs").cast("double").alias("label"), (n % 83).cast("double").alias("base_rf"),
+        (F.col("innings1_runs") + n % 31).cast("double").alias("base_gb"))
+    meta = models.fit_meta(rows, ["rf", "gb"], classifies=False)
+    a, b = meta.coefficients.toArray().tolist()
+    return rounded(spark.range(1).select(F.lit(a).alias("weight_rf"), F.lit(b).alias("weight_gb"), F.lit(float(meta.intercept)).alias("intercept")))
+
+
 # ---------------------------------------------------------------- models (no SQL twin)
 
 def _table(spark, sf_dir, which):
