@@ -1,6 +1,7 @@
 """Time the headline queries once each and print one JSON line.
 
-Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
+Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_MODELS (1: also the queries
+that fit full stacked models, many minutes each).
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ HEADLINE = [
     "pre_match_team_strength", "top_batters", "economy_by_phase", "partnership_summary",
     "pressure_grid", "scoring_zones", "score_distribution", "correlation_matrix",
     "par_scores", "venue_batting_stats", "roc_curve", "fixture_inputs",
+    "prepared_inputs", "out_of_fold_cover", "stacking_meta", "model_importances",
 ]
+MODELS = ["winner_model", "score_model", "fixture_predictions", "score_cross_validation"]
 
 
 def main(names: list[str]) -> None:
@@ -30,7 +33,7 @@ def main(names: list[str]) -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/nation.parquet").count()  # start the session outside the clock
     took = {}
-    for name in names or HEADLINE:
+    for name in names or HEADLINE + MODELS * (os.environ.get("BENCH_MODELS") == "1"):
         start = time.time()
         # Every row and column is produced and dropped: no pruning, no collect.
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -97,7 +97,7 @@ class Sizes:
     trees: int = 300
     rounds: int = 300
     seed: int = 42
-    fits: int = 4
+    fits: int = 8
 
 
 def _side_by_side(spark: SparkSession, calls: list[Callable], fits: int) -> list:
@@ -223,6 +223,14 @@ def _base_vector(bases) -> VectorAssembler:
     return VectorAssembler(inputCols=[f"base_{n}" for n in bases], outputCol="base_vector")
 
 
+def fit_base(spec: Spec, train: DataFrame, name: str = "rf", sizes: Sizes = Sizes()) -> StackedModel:
+    """Preparation and one base model alone, enough for ``importances``; the same as in the full model."""
+    inputs = as_inputs(train, spec.categorical, spec.numeric)
+    prepared = prepare(inputs, spec.categorical, spec.numeric)
+    ready = prepared.transform(inputs).select("label", "features")
+    return StackedModel(spec, prepared, {name: spec.learners(sizes)[name].fit(ready)})
+
+
 def fit(spec: Spec, train: DataFrame, sizes: Sizes = Sizes(), folds: int = FOLDS) -> StackedModel:
     """Fit preparation, out-of-fold base predictions, the model above, and the final bases.
 
@@ -271,9 +279,11 @@ def out_of_fold(spec: Spec, ready: DataFrame, sizes: Sizes, folds: int = FOLDS)
 def cross_validate(spec: Spec, train: DataFrame, sizes: Sizes = Sizes(), folds: int = FOLDS) -> DataFrame:
     """(fold, score): accuracy of the winner model, mean absolute error of the score model."""
     numbered = written(spec.folds(train, folds), f"{spec.name}-outer")
+    fitted = _side_by_side(train.sparkSession, [
+        partial(fit, spec, numbered.filter(F.col("fold") != i).drop("fold"), replace(sizes, fits=max(1, sizes.fits // folds)), folds)
+        for i in range(folds)], sizes.fits)
     parts = None
-    for i in range(folds):
-        model = fit(spec, numbered.filter(F.col("fold") != i).drop("fold"), sizes, folds)
+    for i, model in enumerate(fitted):
         held = model.transform(numbered.filter(F.col("fold") == i).drop("fold"))
         hit = F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0)
         value = hit if spec.classifies else F.abs(F.col("label") - F.col("prediction"))

@@ -16,7 +16,7 @@ from ..plans import models, serving, training
 from ..session import written
 from . import tables
 from .history_queries import CAREER_CTES, FEATURE_CTES, FEATURES_SQL, STRENGTH_SQL, features
-from .ingest_queries import BATTING_SQL, BOWLING_SQL
+from .ingest_queries import BATTING_SQL, BOWLING_SQL, written_path
 from .registry import register, rounded
 from .report_queries import VENUE_STATS_SQL, par_ctes
 from .sql_views import near, query
@@ -424,32 +424,70 @@ def stacking_meta(spark, sf_dir):
     return rounded(spark.range(1).select(F.lit(a).alias("weight_rf"), F.lit(b).alias("weight_gb"), F.lit(float(meta.intercept)).alias("intercept")))
 
 
-# ---------------------------------------------------------------- models (no SQL twin)
+# ---------------------------------------------------------------- models
 
 def _table(spark, sf_dir, which):
     make = training.winner_table if which is models.WINNER else training.score_table
     return written(make(*_features(spark, sf_dir)), f"{which.name}-table")
 
 
+_fitted: dict[tuple[str, str, str], str] = {}
+
+
+def _trained(spark, sf_dir, spec):
+    """The model fitted on everything before the hold-out: trained once a session, then read from where it was saved."""
+    key = (spark.sparkContext.applicationId, sf_dir, spec.name)
+    if key not in _fitted:
+        model = models.fit(spec, training.split(_table(spark, sf_dir, spec))[0])
+        path = written_path(spark, f"{spec.name}-model")
+        model.save(path)
+        _fitted[key] = path
+    return models.StackedModel.load(spec.name, _fitted[key])
+
+
 @register()
 def winner_model(spark, sf_dir):
-    """Fit the stacked winner model on all matches before the hold-out and score the hold-out."""
-    train, test = training.split(_table(spark, sf_dir, models.WINNER))
-    model = models.fit(models.WINNER, train)
-    return model.transform(test).select("match_id", "label", "probability", "prediction")
+    """The stacked winner model on the hold-out."""
+    test = training.split(_table(spark, sf_dir, models.WINNER))[1]
+    return _trained(spark, sf_dir, models.WINNER).transform(test).select("match_id", "label", "probability", "prediction")
 
 
 @register()
 def score_model(spark, sf_dir):
-    train, test = training.split(_table(spark, sf_dir, models.SCORE))
-    model = models.fit(models.SCORE, train)
-    return model.transform(test).select("match_id", "label", "prediction")
+    test = training.split(_table(spark, sf_dir, models.SCORE))[1]
+    return _trained(spark, sf_dir, models.SCORE).transform(test).select("match_id", "label", "prediction")
 
 
 @register()
 def model_importances(spark, sf_dir):
     table = _table(spark, sf_dir, models.WINNER)
-    return models.fit(models.WINNER, training.split(table)[0]).importances(table, 20)
+    return models.fit_base(models.WINNER, training.split(table)[0]).importances(table, 20)
+
+
+@register(query(["fixtures"], """
+SELECT 34 + count(DISTINCT team1) + count(DISTINCT team2) AS features, true AS names_differ, true AS sum_is_one, true AS none_is_negative
+FROM ft WHERE team1_won IS NOT NULL AND date < DATE '2023-01-01'""", **_CTES))
+def importance_names(spark, sf_dir):
+    """The full list of importances: a name per number and per known team, and the shape of the weights."""
+    table = _table(spark, sf_dir, models.WINNER)
+    weights = models.fit_base(models.WINNER, training.split(table)[0]).importances(table)
+    return weights.agg(
+        F.count(F.lit(1)).alias("features"), (F.count_distinct("feature") == F.count(F.lit(1))).alias("names_differ"),
+        (F.abs(F.sum("importance") - 1) < 1e-6).alias("sum_is_one"), (F.min("importance") >= 0).alias("none_is_negative"))
+
+
+@register(query(["fixtures"], f"""
+SELECT match_id, innings1_runs::DOUBLE AS label, true AS agree FROM fixtures WHERE innings1_runs IS NOT NULL AND {_HELD.split(' AS ')[0]}"""))
+def model_round_trip(spark, sf_dir):
+    """A model saved, read, saved and read again predicts the same for every match of the hold-out."""
+    test = training.split(_table(spark, sf_dir, models.SCORE))[1]
+    first = _trained(spark, sf_dir, models.SCORE)
+    path = written_path(spark, "score-model-again")
+    first.save(path)
+    again = models.StackedModel.load("score", path)
+    both = first.transform(test).withColumnRenamed("prediction", "before").select("match_id", "label", "before")
+    both = both.join(again.transform(test).select("match_id", "prediction"), "match_id")
+    return both.select("match_id", "label", (F.col("before") == F.col("prediction")).alias("agree"))
 
 
 @register()
@@ -458,15 +496,30 @@ def score_cross_validation(spark, sf_dir):
     return models.cross_validate(models.SCORE, train)
 
 
-@register()
-def fixture_predictions(spark, sf_dir):
-    """Both models, trained on everything before the hold-out, applied to all asked fixtures."""
+def _predictions(spark, sf_dir):
     tabs = _features(spark, sf_dir)
-    winner = models.fit(models.WINNER, training.split(training.winner_table(*tabs))[0])
     table = written(training.score_table(*tabs), "score-table")
-    train, test = training.split(table)
-    score = models.fit(models.SCORE, train)
-    scored = written(score.transform(test), "score-test")
+    score = _trained(spark, sf_dir, models.SCORE)
+    scored = written(score.transform(training.split(table)[1]), "score-test")
     unknown = spark.range(1).select(F.lit(None).cast("double").alias("cv_mean"))  # no cross-validation is run here
     metadata = metrics.residual_metadata(scored, table, unknown)
-    return serving.predict(_asked(spark, sf_dir), *tabs, winner, score, metadata, homes=tables.FIXTURE_HOMES)
+    return serving.predict(_asked(spark, sf_dir), *tabs, _trained(spark, sf_dir, models.WINNER), score, metadata, homes=tables.FIXTURE_HOMES)
+
+
+@register()
+def fixture_predictions(spark, sf_dir):
+    """Both models, trained on everything before the hold-out, applied to all asked fixtures."""
+    return _predictions(spark, sf_dir)
+
+
+@register(query(["fixtures"], f"""
+SELECT team1, team2, venue, bat_first, par_score, true AS winner_plays, true AS in_range, true AS percent, true AS verdict_fits
+FROM asked JOIN ({VENUE_STATS_SQL.format('(SELECT DISTINCT venue FROM fixtures)')}) USING (venue)""", **_ASK_CTES, **par_ctes("fixtures")))
+def prediction_invariants(spark, sf_dir):
+    """What holds for every prediction whatever the models say; teams, venue and par exactly."""
+    p = _predictions(spark, sf_dir)
+    verdict = F.when(F.col("predicted_score") > F.col("par_score"), "above par").when(F.col("predicted_score") < F.col("par_score"), "below par").otherwise("at par")
+    return p.select(
+        "team1", "team2", "venue", "bat_first", "par_score", F.col("winner").isin(F.col("team1"), F.col("team2")).alias("winner_plays"),
+        F.col("predicted_score").between(F.col("score_low"), F.col("score_high")).alias("in_range"),
+        F.col("win_pct").between(50, 100).alias("percent"), (F.col("verdict") == verdict).alias("verdict_fits"))

@@ -89,8 +89,9 @@ def test_winner_model(spark, tmp_path):
 
 def test_out_of_fold_covers_each_row_once(spark):
     df = table(spark, models.SCORE, 60)
-    inputs = models._as_inputs(df, models.SCORE.categorical, models.SCORE.numeric)
-    ready = models.preparation(models.SCORE.categorical, models.SCORE.numeric).fit(inputs).transform(training.contiguous_folds(inputs))
+    inputs = models.as_inputs(df, models.SCORE.categorical, models.SCORE.numeric)
+    prepared = models.prepare(inputs, models.SCORE.categorical, models.SCORE.numeric)
+    ready = prepared.transform(training.contiguous_folds(inputs))
     out = models.out_of_fold(models.SCORE, ready.select("label", "features", "fold"), TINY)
     assert sorted(x.label for x in out.collect()) == sorted(x.label for x in df.collect())
     assert out.filter("base_rf is null or base_gb is null or base_et is null").count() == 0
