@@ -21,7 +21,8 @@ def test_entry(spark):
     assert df.columns == ["bowler", "wickets", "balls", "runs", "economy"] and df.count() == 15
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+# Full models take minutes to fit; check.py compares these two, test_models.py covers the parts with few trees.
+@pytest.mark.parametrize("name", sorted(set(contract.oracle_sql()) - {"model_round_trip", "prediction_invariants"}))
 def test_query_agrees_with_sql(spark, duck, name):
     assert check.compare(spark, duck, name, SF)[1].startswith("ok")
 
