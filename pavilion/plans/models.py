@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass, field, replace
 from functools import partial
 
@@ -103,7 +104,7 @@ class Sizes:
 def _side_by_side(spark: SparkSession, calls: list[Callable], fits: int) -> list:
     """Results of independent fits, a few at a time: each is many small jobs that leave most of a cluster idle."""
     with ThreadPoolExecutor(max(1, fits)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(c)) for c in calls]]
+        return [f.result() for f in [pool.submit(copy_context().run, inheritable_thread_target(spark)(c)) for c in calls]]
 
 
 def _classifiers(s: Sizes) -> dict:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +45,23 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_of_job: ContextVar[list[str] | None] = ContextVar("paths written by the running job", default=None)
+
+
+@contextmanager
+def leaving_nothing(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``written`` wrote inside the block when it ends, also on failure."""
+    paths: list[str] = []
+    token = _of_job.set(paths)
+    try:
+        yield
+    finally:
+        _of_job.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -52,5 +72,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    if (job := _of_job.get()) is not None:
+        job.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

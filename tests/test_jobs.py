@@ -1,6 +1,7 @@
 """From JSON files to predictions, every job once."""
 
 import json
+import os
 import random
 
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from pavilion.operators.par import par_scores
 from pavilion.plans import jobs, models
 from pavilion.plans.serving import team_options, venue_options
+from pavilion.session import shared_folder
 
 TEAMS = ["Mumbai Indians", "Chennai Super Kings", "Delhi Daredevils", "Kings XI Punjab"]
 PRESENT = ["Mumbai Indians", "Chennai Super Kings", "Delhi Capitals", "Punjab Kings"]
@@ -43,15 +45,30 @@ def card(i, r):
         "outcome": outcome, "overs": 20, "balls_per_over": 6, "event": {"name": "Cup", "match_number": i}}}
 
 
+written_before = set()
+
+
+def files(spark):
+    """What lies in the application's part of the shared folder."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}".removeprefix("file:")
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def left_over(spark):
+    return files(spark) - written_before
+
+
 @pytest.fixture(scope="module")
 def place(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("jobs")
     docs = root / "docs"
     docs.mkdir()
+    written_before.update(files(spark))  # of other tests in this session
     r = random.Random(11)
     for i in range(72):
         (docs / f"{1000 + i}.json").write_text(json.dumps(card(i, r)))
     assert tuple(jobs.ingest(spark, str(docs), f"{root}/tables").first()) == (72, 0, 72 * 108)
+    assert not left_over(spark)
     summary = jobs.build_features(spark, f"{root}/tables", f"{root}/features")
     counts = {x.feature: (x.rows, x.not_null) for x in summary.collect()}
     assert len(counts) == 45 and counts["team1_recent_form"] == (72, 72) and counts["target"] == (72, 72)
@@ -63,6 +80,13 @@ def test_reports(spark, place):
     assert len(names) == 20
     for name in names:
         assert spark.read.parquet(f"{place}/reports/{name}").count() > 0, name
+    assert not left_over(spark)
+
+
+def test_a_failed_job_leaves_nothing(spark, place):
+    with pytest.raises(Exception):  # noqa: B017
+        jobs.ingest(spark, f"{place}/docs", "/proc/nowhere/tables")
+    assert not left_over(spark)
 
 
 def test_train_and_predict(spark, place):
@@ -81,7 +105,8 @@ def test_train_and_predict(spark, place):
     assert [r.venue for r in venue_options(match).collect()] == ["Eden Gardens", "Wankhede Stadium"]
     ask = spark.createDataFrame([(a, b, v, a) for a in PRESENT for b in PRESENT if a != b for v in ("Eden Gardens", "Wankhede Stadium")],
                                 "team1 string, team2 string, venue string, bat_first string")
-    got = jobs.predict(spark, ask, f"{place}/features", f"{place}/models").collect()
+    got = jobs.predict(spark, ask, f"{place}/features", f"{place}/models", f"{place}/predictions").collect()
+    assert not left_over(spark)
     pars = {r.venue: r.par_score for r in par_scores(match).collect()}
     assert len(got) == 24
     for r in got:
