@@ -18,54 +18,59 @@ LEAST_SENTENCES, LEAST_WORDS = 3, 20
 CUT_WORDS = 8
 
 _WORD = re.compile(r"\S+")
-_STOP = re.compile(r"[.!?]+[\"'”»)]*$")
+_QUOTES = "\"'”»)"
+_BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be undone modulo 2^64
 
 
-class Cuts(dict):
-    """Whether a unit ends after a word: at the end of a sentence, or where the word's hash says so."""
+class Words(dict):
+    """A word's 64-bit hash but for case; the lowest bit says whether a sentence ends after it, by its stop or by the hash."""
 
-    def __missing__(self, word: str) -> tuple[bytes, bool]:
-        plain = word.lower().encode("utf-8", "replace")
-        got = plain, bool(_STOP.search(word)) or xxhash.xxh3_64_intdigest(plain) % CUT_WORDS == 0
-        if len(self) >= 300_000:
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "replace"))
+        got = h & ~1 | (word.rstrip(_QUOTES).endswith((".", "!", "?")) or (h >> 1) % CUT_WORDS == 0)
+        if len(self) >= 400_000:
             self.clear()
         if len(word) <= 64:
             self[word] = got
         return got
 
 
-def sentences(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, normalised words) of the sentences of a text; a line break ends one, too."""
-    cuts = worker_cache().setdefault("cuts", Cuts())
-    out, words, first, last = [], [], 0, 0
-    for m in _WORD.finditer(text):
-        a, b = m.span()
-        if words and "\n" in text[last:a]:
-            out.append((first, last, len(words), b" ".join(words)))
-            words = []
-        if not words:
-            first = a
-        plain, ends = cuts[m.group()]
-        words.append(plain)
-        last = b
-        if ends:
-            out.append((first, last, len(words), b" ".join(words)))
-            words = []
-    if words:
-        out.append((first, last, len(words), b" ".join(words)))
-    return out
-
-
-def spans(units: list[tuple[int, int, int, bytes]], least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, sentence after the last) of the span that begins at each sentence, if the text holds one."""
-    ends = np.cumsum([0, *(u[2] for u in units)])
-    out = []
-    for k in range(len(units)):
-        to = max(k + least_sentences, int(np.searchsorted(ends, ends[k] + least_words)))
-        if to > len(units):
-            break
-        out.append((xxhash.xxh3_64_intdigest(b" ".join([u[3] for u in units[k:to]])) - (1 << 63), k, to))
-    return out
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base, and their inverses; kept for the longest text so far."""
+    cache = worker_cache()
+    if len(cache.get("powers", ((),))[0]) < n:
+        size = max(n, 4096)
+        with np.errstate(over="ignore"):
+            cache["powers"] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return cache["powers"]
+
+
+def sentences(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a text's words, and after how many words each sentence ends, 0 first; a line break ends one, too."""
+    table, words, breaks = worker_cache().setdefault("span_words", Words()), [], []
+    for line in text.split("\n"):
+        words += line.split()
+        breaks.append(len(words))
+    codes = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
+    ends = (codes & np.uint64(1)).astype(bool)
+    if len(words):
+        ends[np.array(breaks)[np.array(breaks) > 0] - 1] = True
+    return codes, np.r_[0, np.flatnonzero(ends) + 1]
+
+
+def spans(codes: np.ndarray, ends: np.ndarray, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and sentence after the last of the span that begins at each sentence, as far as the text holds one."""
+    n = len(ends) - 1
+    first = np.arange(n)
+    to = np.maximum(first + least_sentences, np.searchsorted(ends, ends[:-1] + least_words))
+    first = first[to <= n]
+    to = to[:len(first)]
+    power, undo = powers(len(codes) + 1)
+    with np.errstate(over="ignore"):
+        total = np.r_[np.uint64(0), np.cumsum((codes >> np.uint64(1)) * power[:len(codes)])]
+        h = (total[ends[to]] - total[ends[first]]) * undo[ends[first]]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + (ends[to] - ends[first]).astype(np.uint64)
+    return (h ^ (h >> np.uint64(29))).view(np.int64), to
 
 
 def row_id() -> Column:
@@ -79,36 +84,39 @@ def span_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in text_slices(batches):
-            ids, out, where = batch.column("row_id").to_pylist(), [], []
-            for r, text in zip(ids, texts(batch), strict=True):
-                own = {h for h, _, _ in spans(sentences(text))}
-                out += own
-                where += [r] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(where, pa.int64())], names=["span", "row_id"])
+            ids = batch.column("row_id").to_numpy(zero_copy_only=False)
+            own = [np.unique(spans(*sentences(t))[0]) for t in texts(batch)]
+            where = np.repeat(ids, [len(o) for o in own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(where)], names=["span", "row_id"])
 
     return docs.where("text is not null").select(row_id().alias("row_id"), "text").mapInArrow(run, "span long, row_id long")
 
 
-def clean(text: str, repeated: set[int]) -> tuple[int, int, str]:
+def clean(text: str, repeated: list[int]) -> tuple[int, int, str]:
     """Number of sentences, number removed, and what is left of a text.
 
     Removed are the sentences of spans in ``repeated`` and of spans that came before in the same text.  What stays is
     kept as it is, white space included, but for the white space before a removed sentence.
     """
-    units = sentences(text)
-    drop, seen = np.zeros(len(units), bool), set()
-    for h, a, b in spans(units):
-        if h in repeated or h in seen:
-            drop[a:b] = True
-        seen.add(h)
+    codes, ends = sentences(text)
+    h, to = spans(codes, ends)
+    gone = np.ones(len(h), bool)
+    gone[np.unique(h, return_index=True)[1]] = False
+    if len(repeated):
+        gone |= np.isin(h, np.array(repeated, np.int64))
+    edge = np.zeros(len(ends) + 1, np.int64)
+    np.add.at(edge, np.flatnonzero(gone), 1)
+    np.add.at(edge, to[gone], -1)
+    drop = np.cumsum(edge)[:len(ends) - 1] > 0
     if not drop.any():
-        return len(units), 0, text
+        return len(drop), 0, text
+    stop = [m.end() for m in _WORD.finditer(text)]
     out, at = [], 0
-    for (_, b, _, _), gone in zip(units, drop.tolist(), strict=True):
-        if not gone:
-            out.append(text[at:b])
-        at = b
-    return len(units), int(drop.sum()), "".join([*out, text[at:]])
+    for last, away in zip(ends[1:].tolist(), drop.tolist(), strict=True):
+        if not away:
+            out.append(text[at:stop[last - 1]])
+        at = stop[last - 1]
+    return len(drop), int(drop.sum()), "".join([*out, text[at:]])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -118,13 +126,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     NULL text stays NULL with no sentence; texts shorter than a span are left alone.  Spans are equal if their words are
     equal but for case; chance equality of 64-bit hashes is left out of account.
     """
-    rows = span_rows(docs)
+    rows = kept(span_rows(docs))
     repeated = kept(rows.groupBy("span").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last")).where("first < last").select("span", "first"))
     later = rows.join(repeated, "span").where("row_id > first").groupBy("row_id").agg(F.collect_set("span").alias("repeated"))
     both = docs.select("doc_id", "text", row_id().alias("row_id")).join(later, "row_id", "left")
 
     def run(batch):
-        got = [(0, 0, None) if t is None else clean(t, set(r or ())) for t, r in zip(batch.column("text").to_pylist(), batch.column("repeated").to_pylist(), strict=True)]
+        got = [(0, 0, None) if t is None else clean(t, r or []) for t, r in zip(batch.column("text").to_pylist(), batch.column("repeated").to_pylist(), strict=True)]
         return {"doc_id": batch.column("doc_id"), "n_sentences": [g[0] for g in got], "n_removed": [g[1] for g in got], "text": [g[2] for g in got]}
 
     return map_texts(both, ["doc_id", "text", "repeated"], run, "doc_id long, n_sentences long, n_removed long, text string")

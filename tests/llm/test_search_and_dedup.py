@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -142,14 +143,52 @@ def test_scan_abandons_no_near_candidate():
     assert np.mean([len(set(g[0].tolist()) & set(w.tolist())) / 20 for g, w in zip(got, want)]) > 0.98
 
 
+def plain_sentences(text):
+    """(end of text, words) by walking over the words."""
+    table, out, words = spans.Words(), [], []
+    found = list(re.finditer(r"\S+", text))
+    for m, following in zip(found, [*found[1:], None]):
+        words.append(m.group().lower())
+        if table[m.group()] & 1 or following is None or "\n" in text[m.end():following.start()]:
+            out.append((m.end(), words))
+            words = []
+    return out
+
+
+def plain_spans(units):
+    """(words, first sentence, sentence after the last) without any hash."""
+    out = []
+    for k in range(len(units)):
+        words, to = [], k
+        while to < len(units) and (to - k < spans.LEAST_SENTENCES or len(words) < spans.LEAST_WORDS):
+            words += units[to][1]
+            to += 1
+        if to - k >= spans.LEAST_SENTENCES and len(words) >= spans.LEAST_WORDS:
+            out.append((tuple(words), k, to))
+    return out
+
+
 def brute_dedup(rows):
     """Spans by plain dictionaries over all documents, first by doc_id."""
-    units = {d: spans.sentences(t) for d, t in rows}
+    units = {d: plain_sentences(t) for d, t in rows}
     first = {}
     for d in sorted(units):
-        for h, _, _ in spans.spans(units[d]):
-            first.setdefault(h, d)
-    return {d: spans.clean(t, {h for h, _, _ in spans.spans(units[d]) if first[h] < d}) for d, t in rows}
+        for words, _, _ in plain_spans(units[d]):
+            first.setdefault(words, d)
+    out = {}
+    for d, text in rows:
+        drop, seen = set(), set()
+        for words, a, b in plain_spans(units[d]):
+            if words in seen or first[words] < d:
+                drop |= set(range(a, b))
+            seen.add(words)
+        kept, at = [], 0
+        for k, (end, _) in enumerate(units[d]):
+            if k not in drop:
+                kept.append(text[at:end])
+            at = end
+        out[d] = len(units[d]), len(drop), text if not drop else "".join([*kept, text[at:]])
+    return out
 
 
 def test_dedup_of_the_table(spark, small):
