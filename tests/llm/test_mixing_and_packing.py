@@ -60,7 +60,7 @@ def test_ids_are_the_tokenizers(spark, small):
     assert set(map(tuple, got)) == want
 
 
-@pytest.mark.parametrize("text", ["", " ", "a  b\n\nc", "don't <|endoftext|>x", "Ünḯ   x y 12345 …!?", "ΑΣ ΣΑ Σ", "x" * 100, "\x1c a\x1fb \x85 c", "İstanbul İx ok", "it's they're we'", "ﬁne Ⅷ aͤb é. word,..!"])
+@pytest.mark.parametrize("text", ["", " ", "a  b\n\nc", "don't <|endoftext|>x", "Ünḯ   x y 12345 …!?", "ΑΣ ΣΑ Σ", "x" * 100, "\x1c a\x1fb \x85 c", "İstanbul İx ok", "it's they're we'", "A <|ENDOFTEXT|> B", "ÀÉß µ Ÿ ÿ", "a, b. c., d .. e. f, ,g x_. y 1. 2, ", "end. Of, it.", "no ... run, here. ", "ﬁne Ⅷ aͤb é. word,..!"])
 def test_words_one_by_one_are_the_whole(text):
     from tokenizers import Tokenizer
 
