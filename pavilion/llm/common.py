@@ -36,9 +36,13 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % n
 
 
-def worker_cache() -> dict:
-    """What a Python worker keeps from task to task, such as a loaded vocabulary."""
-    return sys.modules.setdefault("_pavilion_worker", types.ModuleType("_pavilion_worker")).__dict__
+def worker_table(name: str, make):
+    """A table that a Python worker keeps from task to task, such as a loaded vocabulary; one at a time, so that operators that run after one another do not add up."""
+    held = sys.modules.setdefault("_pavilion_worker", types.ModuleType("_pavilion_worker"))
+    if getattr(held, "name", None) != name:
+        held.table = None
+        held.name, held.table = name, make()
+    return held.table
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, map_texts, text_slices, texts, worker_cache
+from .common import kept, map_texts, text_slices, texts, worker_table
 
 #: Words of a shingle, and the least similarity as (over, under).
 SHINGLE, LEAST = 3, (90, 100)
@@ -52,7 +52,7 @@ def shingles(text: str, words_in: int = SHINGLE) -> np.ndarray:
 
     Fewer words than a shingle has are one shingle; no word, no shingle.  Chance equality of two hashes is left out of account.
     """
-    cache = worker_cache().setdefault("word_hashes", WordHashes())
+    cache = worker_table("word hashes", WordHashes)
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, map_texts, text_slices, texts, worker_cache
+from .common import kept, map_texts, text_slices, texts, worker_table
 
 #: A span is the shortest run of sentences with at least so many of them and so many words.
 LEAST_SENTENCES, LEAST_WORDS = 3, 20
@@ -25,6 +25,15 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be undone modulo 2^64
 class Words(dict):
     """A word's 64-bit hash but for case; the lowest bit says whether a sentence ends after it, by its stop or by the hash."""
 
+    held: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first powers of the base, and their inverses; kept for the longest text so far."""
+        if len(self.held[0]) < n:
+            with np.errstate(over="ignore"):
+                self.held = tuple(np.cumprod(np.r_[np.uint64(1), np.full(max(n, 4096), b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        return self.held
+
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "replace"))
         got = h & ~1 | (word.rstrip(_QUOTES).endswith((".", "!", "?")) or (h >> 1) % CUT_WORDS == 0)
@@ -35,19 +44,9 @@ class Words(dict):
         return got
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of the base, and their inverses; kept for the longest text so far."""
-    cache = worker_cache()
-    if len(cache.get("powers", ((),))[0]) < n:
-        size = max(n, 4096)
-        with np.errstate(over="ignore"):
-            cache["powers"] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-    return cache["powers"]
-
-
 def sentences(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes of a text's words, and after how many words each sentence ends, 0 first; a line break ends one, too."""
-    table, words, breaks = worker_cache().setdefault("span_words", Words()), [], []
+    table, words, breaks = worker_table("span words", Words), [], []
     for line in text.split("\n"):
         words += line.split()
         breaks.append(len(words))
@@ -65,7 +64,7 @@ def spans(codes: np.ndarray, ends: np.ndarray, least_sentences: int = LEAST_SENT
     to = np.maximum(first + least_sentences, np.searchsorted(ends, ends[:-1] + least_words))
     first = first[to <= n]
     to = to[:len(first)]
-    power, undo = powers(len(codes) + 1)
+    power, undo = worker_table("span words", Words).powers(len(codes) + 1)
     with np.errstate(over="ignore"):
         total = np.r_[np.uint64(0), np.cumsum((codes >> np.uint64(1)) * power[:len(codes)])]
         h = (total[ends[to]] - total[ends[first]]) * undo[ends[first]]
