@@ -45,11 +45,11 @@ def worker_table(name: str, make):
     return held.table
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``BATCH_BYTES`` of text; a longer text is a slice of its own."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``limit`` bytes of text; a longer text is a slice of its own."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        slot = np.cumsum(size.astype(np.int64)) // BATCH_BYTES
+        slot = np.cumsum(size.astype(np.int64)) // limit
         starts = np.flatnonzero(np.diff(slot, prepend=-1)).tolist()
         for a, b in zip(starts, [*starts[1:], len(size)], strict=True):
             yield batch.slice(a, b - a)
@@ -60,7 +60,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
-def map_texts(df: DataFrame, columns: list, fn, schema: str) -> DataFrame:
+def map_texts(df: DataFrame, columns: list, fn, schema: str, limit: int = BATCH_BYTES) -> DataFrame:
     """Apply ``fn(record batch) -> dict of arrays`` to slices of the named columns; extra columns are dropped first."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -68,7 +68,7 @@ def map_texts(df: DataFrame, columns: list, fn, schema: str) -> DataFrame:
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=limit):
             got = fn(batch)
             yield pa.RecordBatch.from_arrays(
                 [a.cast(f.type) if isinstance(a := got[f.name], pa.Array) else pa.array(a, f.type) for f in target], schema=target)

@@ -21,6 +21,10 @@ LEAST_PART = 0.2
 #: One bit per language in an unsigned 64-bit mask.
 MOST_LANGUAGES = 64
 
+#: Bytes of text that are taken at once: each gram needs some hundred bytes of arrays.
+SLICE_BYTES = 1 << 20
+CODE_BITS = np.uint64(48)
+
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a"):ord("z") + 1] = True
@@ -65,18 +69,16 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     Tasks add up their own rows first, so that a frequent n-gram or language is a row per task.
     """
     def run(batches):
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE_BYTES):
             lang = batch.column("lang").dictionary_encode()
             names, of = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False)
             data, ends = _flat(batch)
             for at, codes in _grams(data):
-                both = np.stack([codes, of[np.searchsorted(ends, at, side="right")].astype(np.uint64)])
-                order = np.lexsort(both[::-1])
-                both = both[:, order]
-                new = np.flatnonzero(np.r_[True, (both[:, 1:] != both[:, :-1]).any(axis=0)]) if both.size else np.zeros(0, np.int64)
-                n = np.diff(np.r_[new, both.shape[1]])
+                whose = np.repeat(of.astype(np.uint64), np.diff(np.searchsorted(at, np.r_[0, ends])))
+                both, n = np.unique(codes | whose << CODE_BITS, return_counts=True)  # a code has 43 bits at most
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[k] for k in both[1, new].tolist()], pa.string()), pa.array(both[0, new].view(np.int64)), pa.array(n, pa.int64())],
+                    [pa.array([names[k] for k in (both >> CODE_BITS).tolist()], pa.string()),
+                     pa.array((both & ((np.uint64(1) << CODE_BITS) - np.uint64(1))).view(np.int64)), pa.array(n, pa.int64())],
                     names=["lang", "gram", "n"])
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
@@ -142,4 +144,4 @@ def identify(docs: DataFrame, model: dict, held_out: Column | None = None) -> Da
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": [langs[b] if k else "und" for b, k in zip(best, known, strict=True)], "score": np.where(known, score, 0.0)}
 
     flag = F.lit(False).alias("held_out") if held_out is None else held_out
-    return map_texts(docs, ["doc_id", "text", flag], run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_texts(docs, ["doc_id", "text", flag], run, "doc_id long, held_out boolean, lang_pred string, score double", SLICE_BYTES)
