@@ -85,7 +85,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, **ho
         return {"label": batch.column("label")} | {c: got[:, k] for k, c in enumerate(stats.COUNTS)}
 
     names = ["label", *stats.COUNTS]
-    got = map_texts(rows, ["text", "label"], run, ", ".join(f"{c} long" for c in names)).orderBy(*names).toPandas().to_numpy(np.int64)
+    got = map_texts(rows, ["text", "label"], run, ", ".join(f"{c} long" for c in names)).toPandas().to_numpy(np.int64)
+    got = got[np.lexsort(got.T[::-1])]  # the same rows in the same order at every run
     return fit(stats.ratios(got[:, 1:]), got[:, 0].astype(float), **how)
 
 
