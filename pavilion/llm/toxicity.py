@@ -144,8 +144,7 @@ def clause_features(text: str, words: Words, machine: Transducer) -> np.ndarray:
     return out
 
 
-def _features(batch, model: Model, machine: Transducer) -> np.ndarray:
-    words = Words(model.lexicon)
+def _features(batch, words: Words, machine: Transducer) -> np.ndarray:
     return np.array([clause_features(t, words, machine) for t in texts(batch)]).reshape(-1, 17)
 
 
@@ -229,9 +228,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> M
     """A model for ``labels.toxic`` from labelled ids whose crc32 modulo 5 is not 0; texts are the only input."""
     sample = kept(labelled_sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), 5) != 0, max_rows))
     model, machine = Model(learn_lexicon(sample)), grammar()
+    words = Words(model.lexicon)  # fills up in each task
 
     def run(batch):
-        x = _features(batch, model, machine)
+        x = _features(batch, words, machine)
         return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": list(x)}
 
     got = map_texts(sample, ["doc_id", "text", "label"], run, "doc_id long, label int, x array<double>").orderBy("doc_id").select("label", "x").toPandas()
@@ -245,10 +245,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     A NULL or empty text matches nothing and has the score of the bias alone; a NULL id is not held out.
     """
-    machine = grammar()
+    machine, words = grammar(), Words(model.lexicon)
 
     def run(batch):
-        x = _features(batch, model, machine)
+        x = _features(batch, words, machine)
         p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": p, "predicted": (p >= threshold).astype(int)}
 
