@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, map_texts, text_slices, texts, worker_table
 
-#: Words of a shingle, and the least similarity as (over, under).
+#: Words of a shingle, and the least similarity as (over, under), unless the caller gives others.
 SHINGLE, LEAST = 3, (90, 100)
 #: Size classes grow by this factor; smaller ones share a first class.
 CLASS_RATIO = 1.5
@@ -112,12 +112,12 @@ def once(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row_id", row_id()).withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["row_id", "text_hash"])
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, words: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
     """doc_id, row_id, text_hash, n, node and signatures of every document."""
     def run(batch):
-        sets = [shingles(t) for t in texts(batch)]
+        sets = [shingles(t, words) for t in texts(batch)]
         return {c: batch.column(c) for c in ("doc_id", "row_id", "text_hash")} | {"n": [len(s) for s in sets],
-                "node": [node_of(s) for s in sets], "signatures": pa.array([signatures(s) for s in sets], pa.list_(pa.int64()))}
+                "node": [node_of(s) for s in sets], "signatures": pa.array([signatures(s, least) for s in sets], pa.list_(pa.int64()))}
 
     return map_texts(docs, ["doc_id", "text", row_id().alias("row_id"), F.xxhash64("text").alias("text_hash")], run,
                      "doc_id long, row_id long, text_hash long, n long, node long, signatures array<long>")
@@ -224,7 +224,7 @@ def regions(described_: DataFrame) -> DataFrame:
     return once.join(step, "leader").select("node", "region").distinct()
 
 
-def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, words: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
     """a, b: pairs of nodes of one class, b the smallest of its task, which connect all linked nodes.
 
     Small regions are dealt into tasks by hash; a region above ``TASK_TOKENS`` is cut into blocks of half that by hash and
@@ -256,10 +256,10 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
                     if n not in seen:
                         seen.add(n)
                         node.append(n)
-                        sets.append(shingles(t))
+                        sets.append(shingles(t, words))
         rank = sorted(range(len(node)), key=lambda k: node[k])
         node, sets = [node[k] for k in rank], [sets[k] for k in rank]
-        classes = linked(sets)
+        classes = linked(sets, least)
         pairs = [(node[k], node[classes.find(k)]) for k in range(len(node)) if classes.find(k) != k]
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
@@ -283,32 +283,32 @@ def components(pairs: DataFrame) -> DataFrame:
     return total if total is not None else pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def placed_in_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def placed_in_classes(docs: DataFrame, words: int = SHINGLE, least: tuple[int, int] = LEAST) -> tuple[DataFrame, DataFrame]:
     """All documents (doc_id, row_id, text_hash, n, ...), and those with a shingle once more with the root of their class."""
-    rows = kept(described(docs))
-    roots = components(links(docs, rows))
+    rows = kept(described(docs, words, least))
+    roots = components(links(docs, rows, words, least))
     full = rows.where("n > 0").select("doc_id", "row_id", "text_hash", "n", "node").join(roots, "node", "left")
     return rows, kept(full.withColumn("root", F.coalesce("root", "node")))
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, words: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per input row.
 
     component_id is the smallest doc_id of the class; rows that repeat a text share a class.  A text that is NULL or
     without words has no shingle and is a class of its own row; a class without any doc_id has a NULL one.
     """
-    rows, full = placed_in_classes(docs)
+    rows, full = placed_in_classes(docs, words, least)
     least = kept(full.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     out = full.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, words: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
     """``docs``, own columns, with one row of each class: that of the smallest doc_id, of a NULL one only if there is no other.
 
     Rows without words are classes of their own and all stay.
     """
-    _, full = placed_in_classes(docs)
+    _, full = placed_in_classes(docs, words, least)
     stays = kept(full.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "row_id", "text_hash")).alias("at")).select("at.row_id", "at.text_hash"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     own = {c: f"__{k}" for k, c in enumerate(docs.columns) if c.lower() in ("row_id", "text_hash")}  # the caller's own columns of these names

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -63,3 +64,33 @@ def test_run_applies_the_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert got.count() == corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_copies_are_of_five_words_and_four_fifths(spark):
+    """Classes by comparing plain sets of five words; copies with a changed word, and with a block added."""
+    rng = random.Random(11)
+    rows = []
+    for size, changes in ((30, 1), (49, 1), (55, 1), (94, 2), (115, 2), (139, 3), (172, 3), (300, 40)):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        changed = list(words)
+        for k in range(changes):
+            changed[(2 * k + 1) * size // (2 * changes)] = f"e{rng.randrange(10**6)}"
+        block = [f"b{rng.randrange(10**6)}" for _ in range(size // 5)]
+        rows += [(len(rows) + k, " ".join(t)) for k, t in enumerate((words, changed, words[:-size // 8], words + block, block + changed))]
+    rows += [(len(rows), "one two three four"), (len(rows) + 1, "one two three four"), (len(rows) + 2, "one two three"), (len(rows) + 3, "")]
+
+    def plain(text):
+        words = text.split()
+        return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [plain(t) for _, t in rows]
+    classes = jaccard.Links(len(rows))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                classes.join(a, b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, SF).collect())
+    assert got == [a for a in range(len(rows)) if classes.find(a) == a]
+    assert {0, 5, 10} <= set(got) and not {6, 11, 16, 21, 26, 31} & set(got)
