@@ -16,9 +16,12 @@ LEAST_SENTENCES, LEAST_WORDS = 3, 20
 #: A sentence is cut after about one word in so many, chosen by the word itself, so that passages that begin or end
 #: inside a sentence meet at the same cuts.
 CUT_WORDS = 8
+#: Where the inside of so many words holds no span, closer cuts, one at least in every so many words, give further spans.
+PASSAGE_WORDS, WINDOW = 50, 8
 
 _WORD = re.compile(r"\S+")
 _QUOTES = "\"'”»)"
+_CLOSER = np.int64(0x2545F4914F6CDD1D)  # spans between closer cuts meet only their like
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be undone modulo 2^64
 
 
@@ -72,6 +75,39 @@ def spans(codes: np.ndarray, ends: np.ndarray, least_sentences: int = LEAST_SENT
     return (h ^ (h >> np.uint64(29))).view(np.int64), to
 
 
+def closer(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``ends``, and one more in every window of words without one: after its word of the smallest hash, the last of these."""
+    cut = np.zeros(len(codes), bool)
+    cut[ends[1:] - 1] = True
+    key = np.where(cut, np.uint64(0), np.maximum(codes >> np.uint64(1), np.uint64(1)))
+    low = np.lib.stride_tricks.sliding_window_view(key, WINDOW)[:, ::-1].argmin(axis=1)
+    cut[np.arange(len(low)) + WINDOW - 1 - low] = True
+    return np.r_[0, np.flatnonzero(cut) + 1]
+
+
+def every_span(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first word and word after the last of all spans.
+
+    Any ``PASSAGE_WORDS`` words of a text have, whatever stands around them, a span inside: one of sentences or, if there is
+    none, one between closer cuts.  A cut at the passage's own edges may come from its surroundings and does not count.
+    """
+    h, to = spans(codes, ends)
+    a, b, n = ends[:len(h)], ends[to], len(codes)
+    if n < PASSAGE_WORDS:
+        return h, a, b
+    start = np.arange(n - PASSAGE_WORDS + 1)
+    without = np.r_[b, n + PASSAGE_WORDS][np.searchsorted(a, start, "right")] >= start + PASSAGE_WORDS
+    if not without.any():
+        return h, a, b
+    cuts = closer(codes, ends)
+    more, to = spans(codes, cuts)
+    x, y = cuts[:len(more)], cuts[to]
+    count = np.r_[0, np.cumsum(without)]
+    last = np.minimum(x + 1, len(without))
+    inside = count[last] > count[np.minimum(np.maximum(y - PASSAGE_WORDS, 0), last)]
+    return np.r_[h, more[inside] ^ _CLOSER], np.r_[a, x[inside]], np.r_[b, y[inside]]
+
+
 def row_id() -> Column:
     """doc_id; a row without one is a document of its own, numbered by its text."""
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
@@ -84,7 +120,7 @@ def span_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in text_slices(batches):
             ids = batch.column("row_id").to_numpy(zero_copy_only=False)
-            own = [np.unique(spans(*sentences(t))[0]) for t in texts(batch)]
+            own = [np.unique(every_span(*sentences(t))[0]) for t in texts(batch)]
             where = np.repeat(ids, [len(o) for o in own])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(where)], names=["span", "row_id"])
 
@@ -92,34 +128,34 @@ def span_rows(docs: DataFrame) -> DataFrame:
 
 
 def clean(text: str, repeated: list[int]) -> tuple[int, int, str]:
-    """Number of sentences, number removed, and what is left of a text.
+    """Number of sentences, number that lost words, and what is left of a text.
 
-    Removed are the sentences of spans in ``repeated`` and of spans that came before in the same text.  What stays is
-    kept as it is, white space included, but for the white space before a removed sentence.
+    Removed are the words of spans in ``repeated`` and of spans that came before in the same text.  What stays is
+    kept as it is, white space included, but for the white space before removed words.
     """
     codes, ends = sentences(text)
-    h, to = spans(codes, ends)
+    h, a, b = every_span(codes, ends)
     gone = np.ones(len(h), bool)
     gone[np.unique(h, return_index=True)[1]] = False
     if len(repeated):
         gone |= np.isin(h, np.array(repeated, np.int64))
-    edge = np.zeros(len(ends) + 1, np.int64)
-    np.add.at(edge, np.flatnonzero(gone), 1)
-    np.add.at(edge, to[gone], -1)
-    drop = np.cumsum(edge)[:len(ends) - 1] > 0
-    if not drop.any():
-        return len(drop), 0, text
+    if not gone.any():
+        return len(ends) - 1, 0, text
+    edge = np.zeros(len(codes) + 1, np.int64)
+    np.add.at(edge, a[gone], 1)
+    np.add.at(edge, b[gone], -1)
+    drop = np.cumsum(edge)[:-1] > 0
     stop = [m.end() for m in _WORD.finditer(text)]
     out, at = [], 0
-    for last, away in zip(ends[1:].tolist(), drop.tolist(), strict=True):
-        if not away:
-            out.append(text[at:stop[last - 1]])
-        at = stop[last - 1]
-    return len(drop), int(drop.sum()), "".join([*out, text[at:]])
+    for last in [*np.flatnonzero(drop[1:] != drop[:-1]).tolist(), len(drop) - 1]:
+        if not drop[last]:
+            out.append(text[at:stop[last]])
+        at = stop[last]
+    return len(ends) - 1, int(np.logical_or.reduceat(drop, ends[:-1]).sum()), "".join([*out, text[at:]])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, n_removed, text: every document without the sentences of repeated spans.
+    """doc_id, n_sentences, n_removed, text: every document without the words of repeated spans; n_removed counts the sentences that lost words.
 
     A span's first document, that of the smallest doc_id, keeps it; rows that share a doc_id count as one document for that.  A
     NULL text stays NULL with no sentence; texts shorter than a span are left alone.  Spans are equal if their words are

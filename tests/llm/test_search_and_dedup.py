@@ -217,3 +217,37 @@ def test_dedup_of_odd_rows(odd_docs, no_docs):
     assert len(got) == 9 and sum(r.text is None for r in got) == 2
     assert [r.n_removed for r in got if r.doc_id == 1] == [0, 0, 0]
     assert spans.dedup(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("stop", [0, 12, 25])
+def test_every_passage_of_51_words_meets_itself(stop):
+    rng = random.Random(stop)
+
+    def words(n):
+        return [f"w{rng.randrange(10**9)}{'.' if stop and rng.randrange(stop) == 0 else ''}" for _ in range(n)]
+
+    for trial in range(1500):
+        passage, offset = words(51), trial % 60
+        one, two = ((words(k), words(rng.randrange(60))) for k in (offset, rng.randrange(60)))
+        text = [" ".join([*before, *passage, *after]) for before, after in (one, two)]
+        if trial % 3 == 0:
+            text[0] = text[0].replace(passage[0], "\n" + passage[0])
+        found = [spans.every_span(*spans.sentences(t)) for t in text]
+        both = np.isin(found[0][0], found[1][0])
+        assert both.any()
+        assert (found[0][1][both] >= offset).all() and (found[0][2][both] <= offset + 51).all()
+
+
+def test_passages_inside_lines_go_from_the_second_document(spark):
+    rng = random.Random(9)
+
+    def words(n):
+        return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+    rows = []
+    for k in range(150):
+        passage = words(51)
+        rows += [(k, f"{words(k % 50)} {passage} {words(20)}"), (1000 + k, f"{words(20)} {passage} {words(k % 50)}")]
+    got = {r.doc_id: r for r in spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d].text == t and not got[d].n_removed for d, t in rows if d < 1000)
+    assert all(len(got[d].text.split()) <= len(t.split()) - 20 and got[d].n_removed for d, t in rows if d >= 1000)
