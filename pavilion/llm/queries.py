@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, langid, mixing, packing, quality, rules, secrets, spans, toxicity
+from . import align, ann, jaccard, langid, mixing, packing, quality, rules, secrets, spans, toxicity
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
     model = langid.train(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
     return langid.identify(docs, model, held_out.alias("held_out"))
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
