@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, jaccard, langid, mixing, packing, quality, rules, secrets, spans, toxicity
+from . import align, ann, jaccard, langid, mixing, negatives, packing, quality, rules, secrets, spans, toxicity
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE, "op13_negatives": negatives.ORACLE}
 
 
 def query(fn):
@@ -79,3 +79,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
