@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
+import json
 import re
 
 import numpy as np
@@ -28,8 +30,8 @@ RADICES = 128
 RUN_BYTES = 16 << 20
 #: Merged runs that one task merges further.
 FAN_IN = 64
-#: Units a worker keeps at most, and the longest of them.
-CACHE_UNITS, CACHE_LENGTH = 200_000, 64
+#: Units a worker keeps; only a slice that has more of its own may pass it.
+CACHE_UNITS = 800_000
 #: Bytes of text that give one set of runs.
 SLICE_BYTES = 8 << 20
 #: Bits of a first id in a pair, and of a document's place in its slice in a record.
@@ -53,10 +55,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: How the byte-level vocabulary's pre-tokenizer cuts a text into words (a fixed value).
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Units:
     """Both encodings of a text's units (words with the space before them), their groups and their links.
 
-    A unit's number is its place in the lists; ``pairs`` holds each distinct link of a unit and how often it has it.
+    A unit's number is its place in the lists: ``text`` has its groups (None where an encoding does not give the unit back),
+    ``counts`` its A tokens, B tokens, groups and links, and its links stand in ``pairs`` from ``since`` on.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -78,78 +85,119 @@ class Units:
             else:
                 self.b_bytes.append(piece.replace("▁", " ").encode())
         self.a_size, self.b_size = (np.array([len(x) for x in v]) for v in (self.a_bytes, self.b_bytes))
+        self.names = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
+        self.quick = self.ranked(a_path)
         self.clear()
 
-    def clear(self) -> None:
-        self.number, self.text, self.counts = {}, [], []
-        self.pairs, self.times = [], []
+    def ranked(self, path: str):
+        """The same vocabulary by ranks, which encodes faster, if the order of its merges is that of its ids."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if any(x >= y for x, y in itertools.pairwise(made)):
+            return None
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        ranks = {self.a_bytes[i]: i for t, i in model["vocab"].items() if t not in special}
+        return tiktoken.Encoding("ranked", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def encoded(self, units: list[str]) -> tuple[list, list]:
-        return [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)], self.b.encode(units, num_threads=1)
+    def clear(self) -> None:
+        self.number, self.text = {}, []
+        self.counts, self.since = np.zeros((1024, 4), np.int64), np.zeros(1025, np.int64)
+        self.pairs = np.zeros(8192, np.int64)
+
+    def ids_a(self, units: list[str]) -> list[int]:
+        """Ids of all units, one after the other.
+
+        Where no unit begins or ends with white space they are encoded as one text, since words begin at the spaces before
+        units; characters beyond Latin go to the vocabulary's own library, whose tables of letters decide.
+        """
+        if self.quick and not any(u[:1].isspace() or u[-1:].isspace() for u in units):
+            whole = " " + " ".join(units)
+            if max(whole) < "\u0250":
+                return self.quick(whole)
+        if len(units) > 1:
+            half = len(units) // 2
+            return self.ids_a(units[:half]) + self.ids_a(units[half:])
+        return self.a.encode(" " + units[0], add_special_tokens=False).ids
 
     def learn(self, units: list[str]) -> None:
         """Take in units that are not known yet."""
-        rows_a, rows_b = self.encoded(units)
-        good = []
-        for u, a, b in zip(units, rows_a, rows_b, strict=True):
-            raw = b" " + u.encode()
-            good.append(b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b)))
-        whole = [k for k, ok in enumerate(good) if ok]
-        found = iter(self.align([rows_a[k] for k in whole], [rows_b[k] for k in whole]))
-        for u, ok in zip(units, good, strict=True):
-            text, counts, pairs, times = next(found) if ok else (None, (0, 0, 0, 0), _NO_PAIRS, _NO_PAIRS)
-            self.number[u] = len(self.text)
-            self.text.append(text)
-            self.counts.append(counts)
-            self.pairs.append(pairs)
-            self.times.append(times)
-
-    def align(self, rows_a: list, rows_b: list):
-        """(groups as text, (A tokens, B tokens, groups, links), distinct links, their numbers) of each unit."""
-        if not rows_a:
+        raw = [b" " + u.encode() for u in units]
+        rows_b = self.b.encode(units, num_threads=1)
+        flat_a, flat_b = np.array(self.ids_a(units), np.int64), np.array([i for r in rows_b for i in r], np.int64)
+        whole = b"".join(raw)
+        same = len(whole) == self.a_size[flat_a].sum() and whole == b"".join(map(self.b_bytes.__getitem__, flat_b.tolist()))  # A only cuts bytes
+        if not same:
+            if len(units) > 1:
+                half = len(units) // 2
+                self.learn(units[:half])
+                self.learn(units[half:])
+            else:
+                self.add(units, [None], np.zeros((1, 4), np.int64), np.zeros(0, np.int64))
             return
-        flat_a, flat_b = (np.array([i for r in rows for i in r], np.int64) for rows in (rows_a, rows_b))
-        end_a, end_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
-        to_a, to_b = (np.cumsum([len(r) for r in rows]) for rows in (rows_a, rows_b))
+        self.add(units, *self.align(flat_a, flat_b, np.cumsum(list(map(len, raw)))))
+
+    def add(self, units: list[str], text: list, counts: np.ndarray, pairs: np.ndarray) -> None:
+        n, m = len(self.text), len(self.text) + len(units)
+        while m > len(self.counts):
+            self.counts, self.since = np.concatenate([self.counts, self.counts]), np.concatenate([self.since, np.zeros(len(self.counts), np.int64)])
+        self.number.update(zip(units, range(n, m), strict=True))
+        self.text += text
+        self.counts[n:m] = counts
+        self.since[n + 1:m + 1] = self.since[n] + np.cumsum(counts[:, 3])
+        while self.since[m] > len(self.pairs):
+            self.pairs = np.concatenate([self.pairs, self.pairs])
+        self.pairs[self.since[n]:self.since[m]] = pairs
+
+    def align(self, flat_a: np.ndarray, flat_b: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Groups as text, counts and links of units that end at the bytes ``ends``."""
+        size_a = self.a_size[flat_a]
+        end_a, end_b = np.cumsum(size_a), np.cumsum(self.b_size[flat_b])
         # Tokens of B that overlap a token of A: from the first that ends behind its start to the first that reaches its end.
-        first = np.searchsorted(end_b, end_a - self.a_size[flat_a], "right")
-        last = np.searchsorted(end_b, end_a, "left")
-        links = last - first + 1
+        first = np.searchsorted(end_b, end_a - size_a, "right")
+        links = np.searchsorted(end_b, end_a, "left") - first + 1
         at_a = np.repeat(np.arange(len(flat_a)), links)
         at_b = np.arange(len(at_a)) - np.repeat(np.cumsum(links) - links, links) + first[at_a]
-        keys = flat_b[at_b] << ID_BITS | flat_a[at_a]
-        to_link = np.cumsum(links)[to_a - 1]
-        both = np.intersect1d(end_a, end_b)
+        both = end_a[np.isin(end_a, end_b, assume_unique=True)]
         cut_a, cut_b = np.searchsorted(end_a, both) + 1, np.searchsorted(end_b, both) + 1
-        to_group = np.searchsorted(cut_a, to_a) + 1
-        cut_a, cut_b, names_a, names_b = cut_a.tolist(), cut_b.tolist(), list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        a0 = b0 = g0 = l0 = 0
-        for a1, b1, g1, l1 in zip(to_a.tolist(), to_b.tolist(), to_group.tolist(), to_link.tolist(), strict=True):
-            text, i, j = [], a0, b0
-            for g in range(g0, g1):
-                text.append(",".join(names_a[i:cut_a[g]]) + "|" + ",".join(names_b[j:cut_b[g]]))
-                i, j = cut_a[g], cut_b[g]
-            pairs, times = np.unique(keys[l0:l1], return_counts=True)
-            yield ";".join(text), (a1 - a0, b1 - b0, g1 - g0, l1 - l0), pairs, times
-            a0, b0, g0, l0 = a1, b1, g1, l1
+        to = [np.searchsorted(x, ends) + 1 for x in (end_a, end_b, both)]
+        counts = np.column_stack([np.diff(x, prepend=0) for x in (*to, np.cumsum(links)[to[0] - 1])])
+        names_a, names_b = list(map(self.names.__getitem__, flat_a.tolist())), list(map(self.names.__getitem__, flat_b.tolist()))
+        groups, i, j = [], 0, 0
+        for x, y in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
+            if x - i == 1 == y - j:
+                groups.append(names_a[i] + "|" + names_b[j])
+            else:
+                groups.append(",".join(names_a[i:x]) + "|" + ",".join(names_b[j:y]))
+            i, j = x, y
+        text, g = [], 0
+        for h in to[2].tolist():
+            text.append(";".join(groups[g:h]))
+            g = h
+        return text, counts, flat_b[at_b] << ID_BITS | flat_a[at_a]
 
     def numbers(self, docs: list[list[str]]) -> list[list[int]]:
-        """Numbers of all units of a slice; long ones are known for this slice only (``forget``)."""
-        if len(self.text) > CACHE_UNITS:
+        """Numbers of all units of a slice."""
+        fresh = set().union(*docs).difference(self.number)
+        if self.text and len(self.text) + len(fresh) > CACHE_UNITS:
             self.clear()
-        fresh = list(set().union(*docs).difference(self.number))
-        for k in range(0, len(fresh), 4096):
-            self.learn(fresh[k:k + 4096])
-        self.long = [u for u in fresh if len(u) > CACHE_LENGTH]
+            fresh = set().union(*docs)
+        inner, edge = [], []
+        for u in fresh:
+            (edge if u[:1].isspace() or u[-1:].isspace() else inner).append(u)
+        for some in (inner, edge):
+            for k in range(0, len(some), 4096):
+                self.learn(some[k:k + 4096])
         return [list(map(self.number.__getitem__, d)) for d in docs]
 
-    def forget(self) -> None:
-        for u in self.long:
-            k = self.number.pop(u)
-            self.text[k], self.pairs[k], self.times[k] = None, _NO_PAIRS, _NO_PAIRS
-
+    def links(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links of the units, one unit after the other, and how many each has."""
+        n = self.counts[units, 3]
+        at = np.arange(n.sum()) + np.repeat(self.since[units] - (np.cumsum(n) - n), n)
+        return self.pairs[at], n
 
-_NO_PAIRS = np.zeros(0, np.int64)
 
 # ---------------------------------------------------------------- runs
 
@@ -172,15 +220,14 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def runs_of(records: np.ndarray, times: np.ndarray):
-    """(radix, head, body) of a slice's records ``pair << DOC_BITS | document``.
+def runs_of(records: np.ndarray):
+    """(radix, head, body) of a slice's records ``pair << DOC_BITS | document``, one per link.
 
     head: distinct pairs in order and how often the slice has each; body: documents of each pair, their records and numbers.
     """
-    order = np.argsort(records, kind="stable")
-    records, times = records[order], times[order]
+    records = np.sort(records)
     new = np.flatnonzero(np.diff(records, prepend=-1))
-    records, times = records[new], np.add.reduceat(times, new) if len(new) else times
+    records, times = records[new], np.diff(np.append(new, len(records)))
     radix = (records >> (DOC_BITS + ID_BITS)) % RADICES
     order = np.argsort(radix, kind="stable")  # the order of pairs stays within a radix
     records, times, radix = records[order], times[order], radix[order]
@@ -250,28 +297,21 @@ def sliced(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
         for k, batch in enumerate(text_slices(batches, limit=SLICE_BYTES)):
             docs = [_EDGE.split(t) if t else [] for t in batch.column("text").to_pylist()]
             rows = known.numbers(docs)
-            tokens, digest, sized, flat, owner = [], [], [], [], []
-            for at, row in enumerate(rows):
+            digest, fit = [], []
+            for row in rows:
                 text = list(map(known.text.__getitem__, row))
-                fits = bool(row) and None not in text
-                digest.append(hashlib.sha256(";".join(text).encode()).hexdigest() if fits else "")
-                tokens.append(np.array(list(map(known.counts.__getitem__, row))).sum(0).tolist() if fits else [0, 0, 0, 0])
-                if fits:
-                    unit, times = np.unique(np.array(row), return_counts=True)
-                    flat.append(unit)
-                    sized.append(times)
-                    owner.append(np.full(len(unit), at))
-            table = pa.table([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*tokens, strict=True)), pa.array(digest)],
+                fit.append(bool(row) and None not in text)
+                digest.append(hashlib.sha256(";".join(text).encode()).hexdigest() if fit[-1] else "")
+            length = np.array([len(row) * ok for row, ok in zip(rows, fit, strict=True)])
+            units = np.array([u for row, ok in zip(rows, fit, strict=True) if ok for u in row], np.int64)
+            owner = np.repeat(np.arange(len(rows)), length)
+            tokens = [np.bincount(owner, known.counts[units, c], len(rows)).astype(np.int64) for c in range(4)]
+            table = pa.table([batch.column("doc_id"), *map(pa.array, tokens), pa.array(digest)],
                              ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
             out = [(-1, None, _to_bytes(table))]
-            if flat:
-                unit, times, doc = (np.concatenate(x) for x in (flat, sized, owner))
-                lists = list(map(known.pairs.__getitem__, unit.tolist()))
-                length = np.array(list(map(len, lists)))
-                records = np.concatenate(lists) << DOC_BITS | np.repeat(doc, length)
-                numbers = np.concatenate(list(map(known.times.__getitem__, unit.tolist()))) * np.repeat(times, length)
-                out += runs_of(records, numbers)
-            known.forget()
+            if len(units):
+                pairs, n = known.links(units)
+                out += runs_of(pairs << DOC_BITS | np.repeat(owner, n))
             n = len(out)
             radix, head, body = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k] * n, pa.int64()), pa.array(radix, pa.int32()), pa.array(head, pa.binary()), pa.array(body, pa.binary())],

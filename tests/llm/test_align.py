@@ -95,7 +95,7 @@ def test_runs_come_back():
     for key, n in zip(zip(b.tolist(), a.tolist(), doc.tolist(), strict=True), times.tolist(), strict=True):
         want[key] += n
     got = Counter()
-    for radix, head, body in align.runs_of((b << align.ID_BITS | a) << align.DOC_BITS | doc, times):
+    for radix, head, body in align.runs_of(np.repeat((b << align.ID_BITS | a) << align.DOC_BITS | doc, times)):
         step, count = align.unpack(head)
         length, docs, n = align.unpack(body)
         pair = np.cumsum(step)
