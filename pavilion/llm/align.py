@@ -31,9 +31,9 @@ RUN_BYTES = 16 << 20
 #: Merged runs that one task merges further.
 FAN_IN = 64
 #: Units a worker keeps; only a slice that has more of its own may pass it.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 400_000
 #: Bytes of text that give one set of runs.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 6 << 20
 #: Bits of a first id in a pair, and of a document's place in its slice in a record.
 ID_BITS, DOC_BITS = 20, 20
 
