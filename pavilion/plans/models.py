@@ -1,8 +1,8 @@
-"""Stacked winner and score models on Spark ML.
+"""Stacked winner and score models.
 
-Three tree ensembles and a linear model on top of their out-of-fold
-predictions.  Spark has no extremely randomised trees and no histogram
-boosting; a forest without bootstrap and gradient-boosted trees stand in.
+Three tree ensembles (a forest, histogram boosting and extremely randomised
+trees, see ``trees``) and a linear model of Spark ML on top of their
+out-of-fold predictions.
 """
 
 from __future__ import annotations
@@ -10,32 +10,26 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from contextvars import copy_context
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
-    RandomForestClassificationModel, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
     Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (
-    GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel,
-    RandomForestRegressionModel, RandomForestRegressor,
-)
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from ..operators.timeline import placed, state_before
 from ..session import written
-from . import training
+from . import training, trees
+from .trees import Table, Trees
 
 FOLDS = 5
-BINS = 255  # candidate splits of a column
 
 
 # ---------------------------------------------------------------- preparation
@@ -108,26 +102,18 @@ def _side_by_side(spark: SparkSession, calls: list[Callable], fits: int) -> list
 
 
 def _classifiers(s: Sizes) -> dict:
-    forest = dict(numTrees=s.trees, maxDepth=8, minInstancesPerNode=10, maxBins=BINS,
-                  featureSubsetStrategy="sqrt", seed=s.seed)
     return {
-        "rf": RandomForestClassifier(**forest),
-        "gb": GBTClassifier(maxIter=s.rounds, maxDepth=5, minInstancesPerNode=15, maxBins=BINS,
-                            stepSize=0.05, seed=s.seed),
-        "et": RandomForestClassifier(bootstrap=False, **forest),
+        "rf": Trees("forest", s.trees, depth=8, least=10, classifies=True, seed=s.seed),
+        "gb": Trees("boosted", s.rounds, depth=5, least=15, columns="all", classifies=True, seed=s.seed),
+        "et": Trees("extra", s.trees, depth=8, least=10, classifies=True, seed=s.seed),
     }
 
 
 def _regressors(s: Sizes) -> dict:
-    forest = dict(numTrees=s.trees, maxDepth=10, minInstancesPerNode=8, maxBins=BINS, seed=s.seed)
     return {
-        "rf": RandomForestRegressor(featureSubsetStrategy="sqrt", **forest),
-        "gb": GBTRegressor(maxIter=s.rounds, maxDepth=6, minInstancesPerNode=12, maxBins=BINS,
-                           stepSize=0.05, seed=s.seed),
-        # Without bootstrap and with all features the trees would be one and
-        # the same; training each on its own 80% sets them apart.
-        "et": RandomForestRegressor(bootstrap=False, featureSubsetStrategy="all",
-                                    subsamplingRate=0.8, **forest),
+        "rf": Trees("forest", s.trees, depth=10, least=8, seed=s.seed),
+        "gb": Trees("boosted", s.rounds, depth=6, least=12, columns="all", seed=s.seed),
+        "et": Trees("extra", s.trees, depth=10, least=8, columns="all", seed=s.seed),
     }
 
 
@@ -148,12 +134,6 @@ WINNER = Spec("winner", training.WINNER_CATEGORICAL, training.WINNER_NUMERIC, _c
 SCORE = Spec("score", training.SCORE_CATEGORICAL, training.SCORE_NUMERIC, _regressors,
              training.contiguous_folds, False)
 _SPECS = {s.name: s for s in (WINNER, SCORE)}
-_BASE_CLASSES = {
-    "winner": {"rf": RandomForestClassificationModel, "gb": GBTClassificationModel, "et": RandomForestClassificationModel},
-    "score": {"rf": RandomForestRegressionModel, "gb": GBTRegressionModel, "et": RandomForestRegressionModel},
-}
-
-
 def _score_with(model, df: DataFrame, name: str, classifies: bool) -> DataFrame:
     """Add ``base_<name>``: the probability of class 1, or the predicted value."""
     if not classifies:
@@ -166,20 +146,28 @@ def _score_with(model, df: DataFrame, name: str, classifies: bool) -> DataFrame:
 
 @dataclass
 class StackedModel:
-    """Preparation, three base models, and the linear model above them."""
+    """Preparation, the trees of the base models as a table (``trees.TREE_SCHEMA``), how they were grown, and the linear model above."""
 
     spec: Spec
     prepare: PipelineModel
     bases: dict = field(default_factory=dict)
+    trees: DataFrame | None = None
     meta: object = None
 
+    def base_predictions(self, table: DataFrame) -> DataFrame:
+        """Add ``base_<name>`` of every base model: its trees, flattened into arrays, are walked inside the row's expressions."""
+        spec = self.spec
+        df = self.prepare.transform(as_inputs(table, spec.categorical, spec.numeric)).withColumn("_x", vector_to_array("features"))
+        flat = trees.flattened(self.trees.where(F.col("learner").isin(list(self.bases))))
+        for name, how in self.bases.items():
+            one = flat.where(F.col("learner") == name).select(F.struct("roots", "feature", "threshold", "left", "right", "value").alias("_flat"))
+            df = df.crossJoin(F.broadcast(one)).withColumn(f"base_{name}", trees.walked(F.col("_x"), F.col("_flat"), how)).drop("_flat")  # one row
+        return df.drop("_x")
+
     def transform(self, table: DataFrame) -> DataFrame:
         """Add ``prediction`` and, for the winner, ``probability`` of class 1."""
         spec = self.spec
-        df = self.prepare.transform(as_inputs(table, spec.categorical, spec.numeric))
-        for name, model in self.bases.items():
-            df = _score_with(model, df, name, spec.classifies)
-        df = _base_vector(self.bases).transform(df)
+        df = _base_vector(self.bases).transform(self.base_predictions(table))
         if spec.classifies:
             df = self.meta.setProbabilityCol("_p").setRawPredictionCol("_r").transform(df)
             df = df.withColumn("probability", vector_to_array("_p")[1])
@@ -189,37 +177,44 @@ class StackedModel:
         return df.select(*table.columns, *extra)
 
     def save(self, path: str) -> None:
-        """Write all parts with Spark ML persistence under one folder."""
+        """Write preparation and meta model with Spark ML persistence, the trees and how they were grown as tables, under one folder."""
+        spark = self.trees.sparkSession
         self.prepare.write().overwrite().save(f"{path}/prepare")
-        for name, model in self.bases.items():
-            model.write().overwrite().save(f"{path}/base_{name}")
+        self.trees.write.mode("overwrite").parquet(f"{path}/trees")
+        rows = [(name, k, *(getattr(how, f) for f in _GROWN)) for k, (name, how) in enumerate(self.bases.items())]
+        spark.createDataFrame(rows, _GROWN_SCHEMA).write.mode("overwrite").parquet(f"{path}/grown")
         self.meta.write().overwrite().save(f"{path}/meta")
 
     @staticmethod
     def load(name: str, path: str) -> StackedModel:
-        spec = _SPECS[name]
+        spec, spark = _SPECS[name], SparkSession.active()
         meta = LogisticRegressionModel if spec.classifies else LinearRegressionModel
+        grown = spark.read.schema(_GROWN_SCHEMA).parquet(f"{path}/grown").orderBy("place").collect()  # a row per base model
         return StackedModel(
-            spec, PipelineModel.load(f"{path}/prepare"),
-            {n: c.load(f"{path}/base_{n}") for n, c in _BASE_CLASSES[name].items()},
-            meta.load(f"{path}/meta"),
+            spec, PipelineModel.load(f"{path}/prepare"), {r.learner: Trees(*(r[f] for f in _GROWN)) for r in grown},
+            spark.read.schema(trees.TREE_SCHEMA).parquet(f"{path}/trees"), meta.load(f"{path}/meta"),
         )
 
     def importances(self, df: DataFrame, top: int | None = None) -> DataFrame:
-        """(feature, importance) of the forest, named from the prepared column's metadata."""
+        """(feature, importance) of the forest by the gains of its splits, named from the prepared column's metadata."""
         spec, spark = self.spec, df.sparkSession
         prepared = self.prepare.transform(as_inputs(df, spec.categorical, spec.numeric))
         attrs = prepared.schema["features"].metadata["ml_attr"]["attrs"]
         names = {a["idx"]: a["name"] for kind in attrs.values() for a in kind}
         # The scaled block carries positions only; its order is that of the numeric inputs.
         names.update(enumerate(spec.numeric))
-        weights = self.bases["rf"].featureImportances.toArray().tolist()
-        rows = [(names[i].replace("_hot_", "_"), float(w)) for i, w in enumerate(weights)]
-        out = spark.createDataFrame(rows, "feature string, importance double")
+        names = spark.createDataFrame([(i, n.replace("_hot_", "_")) for i, n in names.items()], "position int, feature string")
+        weights = trees.importances(self.trees.where("learner = 'rf'")).withColumnRenamed("feature", "position")
+        out = names.join(weights, "position", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
         out = out.orderBy(F.desc("importance"), "feature")
         return out.limit(top) if top else out
 
 
+_GROWN = ("kind", "trees", "depth", "least", "columns", "classifies", "rate", "most_leaves", "seed")
+_GROWN_SCHEMA = ("learner string, place int, kind string, trees int, depth int, least int, columns string, classifies boolean, "
+                 "rate double, most_leaves int, seed int")
+
+
 def _base_vector(bases) -> VectorAssembler:
     return VectorAssembler(inputCols=[f"base_{n}" for n in bases], outputCol="base_vector")
 
@@ -228,27 +223,36 @@ def fit_base(spec: Spec, train: DataFrame, name: str = "rf", sizes: Sizes = Size
     """Preparation and one base model alone, enough for ``importances``; the same as in the full model."""
     inputs = as_inputs(train, spec.categorical, spec.numeric)
     prepared = prepare(inputs, spec.categorical, spec.numeric)
-    ready = prepared.transform(inputs).select("label", "features")
-    return StackedModel(spec, prepared, {name: spec.learners(sizes)[name].fit(ready)})
+    table = Table.of(prepared.transform(inputs).withColumn("fold", F.lit(0)), f"{spec.name}-prepared")
+    how = spec.learners(sizes)[name]
+    return StackedModel(spec, prepared, {name: how}, trees.grow([table], how, name, 0, only_whole=True)[0])
 
 
 def fit(spec: Spec, train: DataFrame, sizes: Sizes = Sizes(), folds: int = FOLDS) -> StackedModel:
     """Fit preparation, out-of-fold base predictions, the model above, and the final bases.
 
-    The prepared rows are written once: eighteen fits read them, and none has
-    to go back to the raw tables if executors are lost.
+    The fits without a fold and the final ones are grown together; the prepared rows are written once.
     """
     inputs = as_inputs(train, spec.categorical, spec.numeric)
     prepared = prepare(inputs, spec.categorical, spec.numeric)
-    ready = prepared.transform(spec.folds(inputs, folds)).select("label", "features", "fold")
-    ready = written(ready, f"{spec.name}-prepared")
-
-    model = StackedModel(spec, prepared)
-    meta_input = out_of_fold(spec, ready, sizes, folds)
+    table = Table.of(prepared.transform(spec.folds(inputs, folds)), f"{spec.name}-prepared")
     learners = spec.learners(sizes)
-    model.bases = dict(zip(learners, _side_by_side(ready.sparkSession, [partial(e.fit, ready) for e in learners.values()], sizes.fits), strict=True))
-    model.meta = fit_meta(meta_input, list(learners), spec.classifies)
-    return model
+    grown, rows = _grown([table], learners, sizes, folds)
+    meta = fit_meta(rows, list(learners), spec.classifies)
+    return StackedModel(spec, prepared, learners, grown.where("fold = -1"), meta)
+
+
+def _grown(tables: list[Table], learners: dict, sizes: Sizes, folds: int, with_trees: bool = True) -> tuple[DataFrame | None, DataFrame]:
+    """The trees of all learners, and set, id, label, fold with ``base_<name>`` by the fit that has not seen the row."""
+    spark = tables[0].rows.sparkSession
+    calls = [partial(trees.grow, tables, how, name, folds, with_trees=with_trees) for name, how in learners.items()]
+    made = _side_by_side(spark, calls, sizes.fits)
+    rows, grown = None, None
+    for name, (model, values) in zip(learners, made, strict=True):
+        values = values.withColumnRenamed("value", f"base_{name}")
+        rows = values if rows is None else rows.join(values.drop("label", "fold"), ["set", "id"])
+        grown = model if grown is None else grown.unionByName(model)
+    return grown, written(rows, "out-of-fold")
 
 
 def fit_meta(rows: DataFrame, bases: list[str], classifies: bool):
@@ -263,8 +267,11 @@ def fit_meta(rows: DataFrame, bases: list[str], classifies: bool):
 
 
 def out_of_fold(spec: Spec, ready: DataFrame, sizes: Sizes, folds: int = FOLDS) -> DataFrame:
-    """Base predictions for every row by models that have not seen its fold."""
-    todo = [(i, name, learner) for i in range(folds) for name, learner in spec.learners(sizes).items()]
+    """Base predictions for every row by models that have not seen its fold; learners are ``Trees`` or Spark ML estimators."""
+    learners = spec.learners(sizes)
+    if all(isinstance(e, Trees) for e in learners.values()):
+        return _grown([Table.of(ready, f"{spec.name}-ready")], learners, sizes, folds, with_trees=False)[1].drop("set", "id")
+    todo = [(i, name, learner) for i in range(folds) for name, learner in learners.items()]
     calls = [partial(e.fit, ready.filter(F.col("fold") != i)) for i, _, e in todo]
     models = _side_by_side(ready.sparkSession, calls, sizes.fits)
     parts = None
@@ -278,17 +285,34 @@ def out_of_fold(spec: Spec, ready: DataFrame, sizes: Sizes, folds: int = FOLDS)
 
 
 def cross_validate(spec: Spec, train: DataFrame, sizes: Sizes = Sizes(), folds: int = FOLDS) -> DataFrame:
-    """(fold, score): accuracy of the winner model, mean absolute error of the score model."""
+    """(fold, score): accuracy of the winner model, mean absolute error of the score model.
+
+    Preparation, inner folds and model above are those of each fold's own training rows; the trees of all folds and all
+    inner folds are grown in the same passes.
+    """
     numbered = written(spec.folds(train, folds), f"{spec.name}-outer")
-    fitted = _side_by_side(train.sparkSession, [
-        partial(fit, spec, numbered.filter(F.col("fold") != i).drop("fold"), replace(sizes, fits=max(1, sizes.fits // folds)), folds)
-        for i in range(folds)], sizes.fits)
-    parts = None
-    for i, model in enumerate(fitted):
-        held = model.transform(numbered.filter(F.col("fold") == i).drop("fold"))
+
+    def table(i: int) -> Table:
+        inside = as_inputs(numbered.filter(F.col("fold") != i).drop("fold"), spec.categorical, spec.numeric)
+        prepared = prepare(inside, spec.categorical, spec.numeric)
+        held = as_inputs(numbered.filter(F.col("fold") == i), spec.categorical, spec.numeric).withColumn("fold", F.lit(-1))
+        parts = [prepared.transform(p).select("label", "features", "fold") for p in (spec.folds(inside, folds), held)]
+        return Table.of(parts[0].unionByName(parts[1]), f"{spec.name}-without-{i}")
+
+    tables = _side_by_side(train.sparkSession, [partial(table, i) for i in range(folds)], sizes.fits)
+    learners = spec.learners(sizes)
+    rows = _grown(tables, learners, sizes, folds, with_trees=False)[1]
+
+    def score(i: int) -> DataFrame:
+        own = rows.where(F.col("set") == i)
+        meta = fit_meta(own.where("fold >= 0"), list(learners), spec.classifies)
+        held = meta.transform(_base_vector(learners).transform(own.where("fold = -1")))
         hit = F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0)
         value = hit if spec.classifies else F.abs(F.col("label") - F.col("prediction"))
-        part = held.agg(F.lit(i).alias("fold"), F.avg(value).alias("score"))
+        return held.agg(F.lit(i).alias("fold"), F.avg(value).alias("score"))
+
+    parts = None
+    for part in _side_by_side(train.sparkSession, [partial(score, i) for i in range(folds)], sizes.fits):
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
