@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics, par
@@ -26,7 +28,7 @@ def _features(spark, sf_dir):
     """All three feature tables of the fixtures, written once, values as the SQL twins see them."""
     balls = tables.balls(spark, sf_dir)
     match = written(rounded(features(spark, sf_dir), dates_as_text=False), "features")
-    return match, batting_features(balls), bowling_features(balls)
+    return match, written(batting_features(balls), "batting"), written(bowling_features(balls), "bowling")
 
 
 _CTES = {**FEATURE_CTES, "ft": FEATURES_SQL}
@@ -285,8 +287,8 @@ _ASKED = """SELECT DISTINCT team1, team2, venue, innings1_team AS bat_first FROM
 UNION ALL SELECT DISTINCT 'newcomers', team2, venue, team2 FROM fixtures"""
 
 
-def _asked(spark, sf_dir):
-    played = tables.fixtures(spark, sf_dir)
+def _asked(spark, sf_dir, match=None):
+    played = tables.fixtures(spark, sf_dir) if match is None else match
     known = played.select("team1", "team2", "venue", F.col("innings1_team").alias("bat_first")).distinct()
     new = played.select(F.lit("newcomers").alias("team1"), "team2", "venue", F.col("team2").alias("bat_first")).distinct()
     return known.unionByName(new)
@@ -311,7 +313,8 @@ _ASK_CTES = {**_SNAP, "asked": _ASKED, "pairs": _PAIRS, "cities": _CITY.format("
 
 
 def _inputs(spark, sf_dir):
-    return serving.fixture_inputs(_asked(spark, sf_dir), *_features(spark, sf_dir), homes=tables.FIXTURE_HOMES)
+    tabs = _features(spark, sf_dir)
+    return serving.fixture_inputs(_asked(spark, sf_dir, tabs[0]), *tabs, homes=tables.FIXTURE_HOMES)
 
 
 @register(query(["fixtures"], f"SELECT team1, team2, venue, bat_first, {_near_all(training.WINNER_NUMERIC)} FROM inputs", **_ASK_CTES))
@@ -426,36 +429,39 @@ def stacking_meta(spark, sf_dir):
 
 # ---------------------------------------------------------------- models
 
-def _table(spark, sf_dir, which):
+def _table(spark, sf_dir, which, tabs=None):
     make = training.winner_table if which is models.WINNER else training.score_table
-    return written(make(*_features(spark, sf_dir)), f"{which.name}-table")
+    return written(make(*(tabs or _features(spark, sf_dir))), f"{which.name}-table")
 
 
 _fitted: dict[tuple[str, str, str], str] = {}
 
 
-def _trained(spark, sf_dir, spec):
+def _trained(spark, sf_dir, spec, table):
     """The model fitted on everything before the hold-out: trained once a session, then read from where it was saved."""
     key = (spark.sparkContext.applicationId, sf_dir, spec.name)
     if key not in _fitted:
-        model = models.fit(spec, training.split(_table(spark, sf_dir, spec))[0])
         path = written_path(spark, f"{spec.name}-model")
-        model.save(path)
+        models.fit(spec, training.split(table)[0]).save(path)
         _fitted[key] = path
     return models.StackedModel.load(spec.name, _fitted[key])
 
 
+def _held(spark, sf_dir, spec, tabs=None):
+    """The training table, and the model's predictions of its hold-out."""
+    table = _table(spark, sf_dir, spec, tabs)
+    return table, written(_trained(spark, sf_dir, spec, table).transform(training.split(table)[1]), f"{spec.name}-test")
+
+
 @register()
 def winner_model(spark, sf_dir):
     """The stacked winner model on the hold-out."""
-    test = training.split(_table(spark, sf_dir, models.WINNER))[1]
-    return _trained(spark, sf_dir, models.WINNER).transform(test).select("match_id", "label", "probability", "prediction")
+    return _held(spark, sf_dir, models.WINNER)[1].select("match_id", "label", "probability", "prediction")
 
 
 @register()
 def score_model(spark, sf_dir):
-    test = training.split(_table(spark, sf_dir, models.SCORE))[1]
-    return _trained(spark, sf_dir, models.SCORE).transform(test).select("match_id", "label", "prediction")
+    return _held(spark, sf_dir, models.SCORE)[1].select("match_id", "label", "prediction")
 
 
 @register()
@@ -464,6 +470,12 @@ def model_importances(spark, sf_dir):
     return models.fit_base(models.WINNER, training.split(table)[0]).importances(table, 20)
 
 
+@register()
+def score_importances(spark, sf_dir):
+    table = _table(spark, sf_dir, models.SCORE)
+    return models.fit_base(models.SCORE, training.split(table)[0]).importances(table, 15)
+
+
 @register(query(["fixtures"], """
 SELECT 34 + count(DISTINCT team1) + count(DISTINCT team2) AS features, true AS names_differ, true AS sum_is_one, true AS none_is_negative
 FROM ft WHERE team1_won IS NOT NULL AND date < DATE '2023-01-01'""", **_CTES))
@@ -480,8 +492,9 @@ def importance_names(spark, sf_dir):
 SELECT match_id, innings1_runs::DOUBLE AS label, true AS agree FROM fixtures WHERE innings1_runs IS NOT NULL AND {_HELD.split(' AS ')[0]}"""))
 def model_round_trip(spark, sf_dir):
     """A model saved, read, saved and read again predicts the same for every match of the hold-out."""
-    test = training.split(_table(spark, sf_dir, models.SCORE))[1]
-    first = _trained(spark, sf_dir, models.SCORE)
+    table = _table(spark, sf_dir, models.SCORE)
+    test = training.split(table)[1]
+    first = _trained(spark, sf_dir, models.SCORE, table)
     path = written_path(spark, "score-model-again")
     first.save(path)
     again = models.StackedModel.load("score", path)
@@ -490,20 +503,53 @@ def model_round_trip(spark, sf_dir):
     return both.select("match_id", "label", (F.col("before") == F.col("prediction")).alias("agree"))
 
 
+def _validated(spark, sf_dir, spec, table):
+    return models.cross_validate(spec, training.split(table)[0])
+
+
+@register()
+def winner_cross_validation(spark, sf_dir):
+    """Accuracy of the stacked winner model on each fold of the rows before the hold-out."""
+    return _validated(spark, sf_dir, models.WINNER, _table(spark, sf_dir, models.WINNER))
+
+
 @register()
 def score_cross_validation(spark, sf_dir):
-    train, _ = training.split(_table(spark, sf_dir, models.SCORE))
-    return models.cross_validate(models.SCORE, train)
+    return _validated(spark, sf_dir, models.SCORE, _table(spark, sf_dir, models.SCORE))
+
+
+@register()
+def winner_evaluation(spark, sf_dir):
+    """Classification report, area under the curve and the gap to cross-validation, all of real predictions, one value a row."""
+    table, scored = _held(spark, sf_dir, models.WINNER)
+    summary = models.cv_summary(_validated(spark, sf_dir, models.WINNER, table))
+    gap = metrics.overfit_check(summary, metrics.accuracy(scored))
+    report = metrics.classification_report(scored)
+    rows = [report.select(F.lit("report").alias("part"), F.concat_ws(" ", "class", F.lit(c)).alias("name"), F.col(c).cast("double").alias("value"))
+            for c in ("precision", "recall", "f1", "support")]
+    rows.append(metrics.auc(scored).select(F.lit("roc").alias("part"), F.lit("auc").alias("name"), F.col("auc").alias("value")))
+    rows += [gap.select(F.lit("overfit").alias("part"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in gap.columns]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@register()
+def score_evaluation(spark, sf_dir):
+    """Regression report and residual metadata of real predictions, with the cross-validated error, one value a row."""
+    table, scored = _held(spark, sf_dir, models.SCORE)
+    summary = models.cv_summary(_validated(spark, sf_dir, models.SCORE, table))
+    parts = {"report": metrics.regression_report(scored), "metadata": metrics.residual_metadata(scored, table, summary)}
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(part).alias("part"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for part, df in parts.items() for c in df.columns])
 
 
 def _predictions(spark, sf_dir):
     tabs = _features(spark, sf_dir)
-    table = written(training.score_table(*tabs), "score-table")
-    score = _trained(spark, sf_dir, models.SCORE)
-    scored = written(score.transform(training.split(table)[1]), "score-test")
+    table, scored = _held(spark, sf_dir, models.SCORE, tabs)
     unknown = spark.range(1).select(F.lit(None).cast("double").alias("cv_mean"))  # no cross-validation is run here
     metadata = metrics.residual_metadata(scored, table, unknown)
-    return serving.predict(_asked(spark, sf_dir), *tabs, _trained(spark, sf_dir, models.WINNER), score, metadata, homes=tables.FIXTURE_HOMES)
+    winner = _trained(spark, sf_dir, models.WINNER, _table(spark, sf_dir, models.WINNER, tabs))
+    score = _trained(spark, sf_dir, models.SCORE, table)
+    return serving.predict(_asked(spark, sf_dir, tabs[0]), *tabs, winner, score, metadata, homes=tables.FIXTURE_HOMES)
 
 
 @register()

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Queries that fit full stacked models, minutes each.
-FITTING = ("winner_model", "score_model", "model_round_trip", "fixture_predictions", "prediction_invariants", "score_cross_validation")
+FITTING = ("winner_model", "score_model", "model_round_trip", "fixture_predictions", "prediction_invariants", "winner_cross_validation",
+           "score_cross_validation", "winner_evaluation", "score_evaluation")
 
 
 def register(sql: str | None = None):
