@@ -93,20 +93,22 @@ def state_before(
     )
     here = Window.partitionBy(*keys, slot).orderBy(*order)
     earlier = here.rowsBetween(Window.unboundedPreceding, -1)
-    by_row = f"OVER (PARTITION BY {_names([*keys, slot])} ORDER BY {_names(order)})"
+    # Of a tail, rows that count lie in a window of their own, where the last n are a frame; what they hold is carried to all
+    # rows behind them.  Every window lies on (key, slot), so the rows are sorted anew but do not move.
+    for name, t in tails.items():
+        counts = Window.partitionBy(*keys, slot, F.col(f"_t_{name}").isNotNull()).orderBy(*order).rowsBetween(1 - t.n, 0)
+        values = values.withColumn(f"_e_{name}", F.when(F.col(f"_t_{name}").isNotNull(), F.collect_list(f"_t_{name}").over(counts)))
 
     local = values.select(
         "*",
         *[F.coalesce(F.sum(f"_s_{name}").over(earlier), F.lit(0)).alias(f"_ls_{name}") for name in sums],
-        # All tails share the one ordering: a lag that skips NULL finds the i-th last value that counts.
-        *[F.expr(f"array_compact(array({_lags(f'_t_{name}', t.n, by_row)}))").alias(f"_lt_{name}") for name, t in tails.items()],
+        *[F.coalesce(F.last(f"_e_{name}", ignorenulls=True).over(earlier), F.array()).alias(f"_lt_{name}") for name in tails],
     )
     # One summary per (key, slot): the sums, and what the tails are after its last row.
     # Both come from the windowed rows, which lie on (key, slot) already.
-    after = lambda name, n: _last(F.concat(f"_lt_{name}", F.array_compact(F.array(f"_t_{name}"))), n)
     summaries = local.groupBy(*keys, slot).agg(
         *[F.sum(f"_s_{name}").alias(f"_s_{name}") for name in sums],
-        *[F.max_by(after(name, t.n), F.struct(*order)).alias(f"_t_{name}") for name, t in tails.items()],
+        *[F.max_by(f"_e_{name}", F.when(F.col(f"_e_{name}").isNotNull(), F.struct(*order))).alias(f"_t_{name}") for name in tails],
     )
 
     # The walk over a key's slots.  An empty slot has no array, and offsets skip it.
