@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,6 +11,11 @@ from pavilion.llm.common import table
 SF = "/root/testdata/sf0.001"
 
 
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_stages_are_the_dealt_ones():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "jaccard", "secrets", "mixing", "packing"]
 
@@ -26,12 +32,12 @@ def test_every_stage_against_plain_python(spark):
     assert sorted(map(tuple, good.collect())) == sorted(want) and good.columns == docs.columns
     assert 0 < len(want) < len(rows)
 
-    sets = {r[0]: set(jaccard.shingles(r[1]).tolist()) for r in want}
+    sets = {r[0]: five_words(r[1]) for r in want}
     ids, up = sorted(sets), {}
     for a in ids:
         for b in ids:
             both = len(sets[a] & sets[b])
-            if b < a and sets[a] and 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+            if b < a and sets[a] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                 up.setdefault(a, []).append(b)
     classes = jaccard.Links(max(ids) + 1)
     for a, others in up.items():

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import xxhash
 import pytest
 
 from pavilion.llm import ann, jaccard, spans
@@ -143,51 +144,61 @@ def test_scan_abandons_no_near_candidate():
     assert np.mean([len(set(g[0].tolist()) & set(w.tolist())) / 20 for g, w in zip(got, want)]) > 0.98
 
 
-def plain_sentences(text):
-    """(end of text, words) by walking over the words."""
-    table, out, words = spans.Words(), [], []
-    found = list(re.finditer(r"\S+", text))
-    for m, following in zip(found, [*found[1:], None]):
-        words.append(m.group().lower())
-        if table[m.group()] & 1 or following is None or "\n" in text[m.end():following.start()]:
-            out.append((m.end(), words))
-            words = []
-    return out
+def plain_words(text):
+    """(start, end, word, whether a sentence ends after it) by walking over the words."""
+    table, found = spans.Words(), list(re.finditer(r"\S+", text))
+    return [(m.start(), m.end(), m.group(), bool(table[m.group()] & 1) or following is None or "\n" in text[m.end():following.start()])
+            for m, following in zip(found, [*found[1:], None])]
 
 
-def plain_spans(units):
-    """(words, first sentence, sentence after the last) without any hash."""
-    out = []
-    for k in range(len(units)):
-        words, to = [], k
-        while to < len(units) and (to - k < spans.LEAST_SENTENCES or len(words) < spans.LEAST_WORDS):
-            words += units[to][1]
-            to += 1
-        if to - k >= spans.LEAST_SENTENCES and len(words) >= spans.LEAST_WORDS:
-            out.append((tuple(words), k, to))
+def runs_between(words, cuts):
+    """(words, first, word after the last) of the shortest run from each cut that has enough units and words."""
+    edges, out = [0, *[k + 1 for k, c in enumerate(cuts) if c]], []
+    for i, a in enumerate(edges[:-1]):
+        for n, b in enumerate(edges[i + 1:], 1):
+            if n >= spans.LEAST_SENTENCES and b - a >= spans.LEAST_WORDS:
+                out.append((tuple(w[2].lower() for w in words[a:b]), a, b))
+                break
     return out
 
 
+def plain_all_spans(words):
+    """Spans of sentences, and where 50 words hold none strictly inside, spans between closer cuts."""
+    sentences = [w[3] for w in words]
+    out = [(("sentences", s), a, b) for s, a, b in runs_between(words, sentences)]
+    bare = [s for s in range(len(words) - spans.PASSAGE_WORDS + 1) if not any(s < a and b < s + spans.PASSAGE_WORDS for _, a, b in out)]
+    if not bare:
+        return out
+    key = [0 if w[3] else max(xxhash.xxh3_64_intdigest(w[2].lower().encode()) >> 1, 1) for w in words]
+    cuts = list(sentences)
+    for s in range(len(words) - spans.WINDOW + 1):
+        cuts[max(range(s, s + spans.WINDOW), key=lambda k: (-key[k], k))] = True
+    return out + [(("closer", s), a, b) for s, a, b in runs_between(words, cuts) if any(p <= a and b <= p + spans.PASSAGE_WORDS for p in bare)]
+
+
 def brute_dedup(rows):
-    """Spans by plain dictionaries over all documents, first by doc_id."""
-    units = {d: plain_sentences(t) for d, t in rows}
+    """Spans by plain dictionaries over all documents, first by doc_id; the words of repeated ones go."""
+    words = {d: plain_words(t) for d, t in rows}
+    own = {d: plain_all_spans(w) for d, w in words.items()}
     first = {}
-    for d in sorted(units):
-        for words, _, _ in plain_spans(units[d]):
-            first.setdefault(words, d)
+    for d in sorted(own):
+        for span, _, _ in own[d]:
+            first.setdefault(span, d)
     out = {}
     for d, text in rows:
         drop, seen = set(), set()
-        for words, a, b in plain_spans(units[d]):
-            if words in seen or first[words] < d:
+        for span, a, b in own[d]:
+            if span in seen or first[span] < d:
                 drop |= set(range(a, b))
-            seen.add(words)
-        kept, at = [], 0
-        for k, (end, _) in enumerate(units[d]):
-            if k not in drop:
-                kept.append(text[at:end])
-            at = end
-        out[d] = len(units[d]), len(drop), text if not drop else "".join([*kept, text[at:]])
+            seen.add(span)
+        left, at, hurt, sentence = [], 0, set(), 0
+        for k, (_, end, _, last) in enumerate(words[d]):
+            if k in drop:
+                hurt.add(sentence)
+            else:
+                left.append(text[at:end])
+            at, sentence = end, sentence + last
+        out[d] = sum(w[3] for w in words[d]), len(hurt), text if not drop else "".join([*left, text[at:]])
     return out
 
 
