@@ -1,7 +1,7 @@
 """The aggregates behind the nineteen charts, each as a DataFrame.
 
-All combine on the map side and do whatever follows (shares, top lists, dense grids, windows) on the aggregate.  Most
-scan the deliveries once; those that also need the number of matches scan one column of them again.
+All combine on the map side and do whatever follows (shares, top lists, dense grids, windows) on the aggregate.  Each
+scans the deliveries once, or not at all if it is given that aggregate as ``parts`` (see ``cube``).
 """
 
 from __future__ import annotations
@@ -153,9 +153,9 @@ def _both(matches: DataFrame, series: dict[str, str], bins: int) -> DataFrame:
 # ---------------------------------------------------------------- deliveries
 
 
-def top_batters(deliveries: DataFrame, n: int = 15) -> DataFrame:
+def top_batters(deliveries: DataFrame, n: int = 15, parts: DataFrame | None = None) -> DataFrame:
     runs = F.col("batter_runs")
-    table = (
+    table = parts if parts is not None else (
         deliveries.filter((F.col("wides") == 0) & F.col("batter").isNotNull()).groupBy("batter").agg(
             F.sum(runs).alias("runs"), F.count(runs).alias("balls"),
             F.count_if(runs == 4).alias("fours"), F.count_if(runs == 6).alias("sixes"),
@@ -165,51 +165,57 @@ def top_batters(deliveries: DataFrame, n: int = 15) -> DataFrame:
     return table.withColumn("strike_rate", rate).orderBy(F.desc("runs"), "batter").limit(n)
 
 
-def top_bowlers(deliveries: DataFrame, n: int = 15) -> DataFrame:
-    table = deliveries.filter(F.col("bowler").isNotNull()).groupBy("bowler").agg(
+def top_bowlers(deliveries: DataFrame, n: int = 15, parts: DataFrame | None = None) -> DataFrame:
+    table = parts if parts is not None else deliveries.filter(F.col("bowler").isNotNull()).groupBy("bowler").agg(
         F.sum("is_wicket").alias("wickets"), _balls().alias("balls"), F.sum("total_runs").alias("runs"),
     )
     economy = round_even(safe_div("runs", F.col("balls") / 6, fill=None), 2)
     return table.withColumn("economy", economy).orderBy(F.desc("wickets"), "bowler").limit(n)
 
 
-def runs_by_over(deliveries: DataFrame) -> DataFrame:
+def _by_over(deliveries: DataFrame) -> DataFrame:
+    """Runs, balls and wickets of each over, and ``matches``, the number of matches, in every row; one scan.
+
+    Balls are added up by over and, beside that, by match; a row per match is then only counted.
+    """
+    sets = deliveries.groupingSets([[F.col("innings"), F.col("over")], [F.col("match_id")]], F.col("innings"), F.col("over"), F.col("match_id")).agg(
+        F.grouping("match_id").alias("_over"), F.sum("total_runs").alias("runs"), F.count("total_runs").alias("balls"),
+        F.count_if(F.col("is_wicket") == 1).alias("wickets"))
+    few = sets.groupBy("_over", "innings", "over").agg(
+        *[F.sum(c).alias(c) for c in ("runs", "balls", "wickets")], F.count("match_id").alias("_matches"))
+    every = Window.partitionBy()  # a row per over of the game and one for all matches
+    return few.withColumn("matches", F.sum("_matches").over(every)).filter(F.col("_over") == 1).drop("_over", "_matches")
+
+
+def _dense_overs(spark: SparkSession, parts: DataFrame) -> DataFrame:
+    """Every over 1..20 of both innings, with ``matches`` also where nothing was bowled."""
+    known = parts.select("innings", "over", "runs", "wickets", F.struct("matches").alias("of"))
+    rows = _spine(spark, innings=range(1, 3), over=range(1, OVERS + 1)).join(known, ["innings", "over"], "left")
+    return rows.withColumn("matches", F.coalesce(F.max("of.matches").over(Window.partitionBy()), F.lit(0))).drop("of")  # forty rows
+
+
+def runs_by_over(deliveries: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Mean runs per ball of each over."""
-    return (
-        deliveries.filter(F.col("innings").isin(1, 2)).groupBy("innings", "over")
-        .agg(F.avg("total_runs").alias("avg_runs")).orderBy("innings", "over")
-    )
+    if parts is None:
+        parts = deliveries.groupBy("innings", "over").agg(F.sum("total_runs").alias("runs"), F.count("total_runs").alias("balls"))
+    return parts.filter(F.col("innings").isin(1, 2)).select(
+        "innings", "over", safe_div("runs", "balls", fill=None).alias("avg_runs")).orderBy("innings", "over")
 
 
-def wickets_by_over(deliveries: DataFrame) -> DataFrame:
+def wickets_by_over(deliveries: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Wickets per match in every over 1..20 of both innings."""
-    fallen = (
-        deliveries.filter(F.col("innings").isin(1, 2) & (F.col("is_wicket") == 1))
-        .groupBy("innings", "over").agg(F.count(F.lit(1)).alias("wickets"))
-    )
-    return (
-        _spine(deliveries.sparkSession, innings=range(1, 3), over=range(1, OVERS + 1))
-        .join(fallen, ["innings", "over"], "left")
-        .crossJoin(F.broadcast(match_count(deliveries)))  # one row
-        .select(
-            "innings", "over", F.coalesce("wickets", F.lit(0)).alias("wickets"),
-            safe_div(F.coalesce("wickets", F.lit(0)), "matches", fill=None).alias("wickets_per_match"),
-        ).orderBy("innings", "over")
-    )
+    return _dense_overs(deliveries.sparkSession, _by_over(deliveries) if parts is None else parts).select(
+        "innings", "over", F.coalesce("wickets", F.lit(0)).alias("wickets"),
+        safe_div(F.coalesce("wickets", F.lit(0)), "matches", fill=None).alias("wickets_per_match"),
+    ).orderBy("innings", "over")
 
 
-def score_acceleration(deliveries: DataFrame) -> DataFrame:
+def score_acceleration(deliveries: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Two-over rolling mean of an over's runs, per match, dense over 1..20."""
-    totals = (
-        deliveries.filter(F.col("innings").isin(1, 2)).groupBy("innings", "over")
-        .agg(F.sum("total_runs").alias("runs"))
-    )
     # Forty spine rows: the window never sees more.
     two = Window.partitionBy("innings").orderBy("over").rowsBetween(-1, 0)
     return (
-        _spine(deliveries.sparkSession, innings=range(1, 3), over=range(1, OVERS + 1))
-        .join(totals, ["innings", "over"], "left")
-        .crossJoin(F.broadcast(match_count(deliveries)))
+        _dense_overs(deliveries.sparkSession, _by_over(deliveries) if parts is None else parts)
         .withColumn("runs", F.coalesce("runs", F.lit(0)))
         .withColumn("rolling", F.avg("runs").over(two))
         .select("innings", "over", "runs", safe_div("rolling", "matches", fill=None).alias("rolling_rate"))
@@ -217,8 +223,8 @@ def score_acceleration(deliveries: DataFrame) -> DataFrame:
     )
 
 
-def dismissal_mix(deliveries: DataFrame) -> DataFrame:
-    kinds = (
+def dismissal_mix(deliveries: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    kinds = parts if parts is not None else (
         deliveries.filter((F.col("is_wicket") == 1) & F.col("wicket_kind").isNotNull())
         .groupBy("wicket_kind").agg(F.count(F.lit(1)).alias("wickets"))
     )
@@ -228,9 +234,9 @@ def dismissal_mix(deliveries: DataFrame) -> DataFrame:
     ).orderBy(F.desc("wickets"), "wicket_kind")
 
 
-def powerplay_points(matches: DataFrame, deliveries: DataFrame) -> DataFrame:
+def powerplay_points(matches: DataFrame, deliveries: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """(powerplay runs, innings total, season) of every first innings with both known."""
-    pp = (
+    pp = parts if parts is not None else (
         deliveries.filter((F.col("in_powerplay") == 1) & (F.col("innings") == 1))
         .groupBy("match_id").agg(F.coalesce(F.sum("total_runs"), F.lit(0)).alias("pp_runs"))
     )
@@ -254,14 +260,14 @@ CORRELATED = [
 ]
 
 
-def correlation_input(matches: DataFrame, deliveries: DataFrame, death_from: int = 17) -> DataFrame:
+def correlation_input(matches: DataFrame, deliveries: DataFrame, death_from: int = 17, parts: DataFrame | None = None) -> DataFrame:
     """One row per match with the eight correlated columns.
 
     Here an undecided match counts as not won by team1.
     """
     first = deliveries.filter(F.col("innings") == 1)
     runs = F.coalesce("total_runs", F.lit(0))
-    totals = first.groupBy("match_id").agg(
+    totals = parts if parts is not None else first.groupBy("match_id").agg(
         F.sum(F.when(F.col("in_powerplay") == 1, runs)).alias("pp_runs_inn1"),
         F.sum(F.when(F.col("over") >= death_from, runs)).alias("death_runs_inn1"),
     )
@@ -294,28 +300,26 @@ def _pearson(a: str, b: str) -> Column:
     return F.expr(f"CASE WHEN {varies} THEN {r} END")
 
 
-def pressure_grid(deliveries: DataFrame) -> DataFrame:
+def pressure_grid(deliveries: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Mean runs per ball in innings 1 by wickets lost before the ball, one column per over."""
-    before = clip(F.col("cumulative_wickets") - F.col("is_wicket"), 0, 9)
-    grid = (
-        deliveries.filter(F.col("innings") == 1)
-        .groupBy(before.cast("int").alias("wickets_before"))
-        .agg(*[
-            F.avg(F.when(F.col("over") == o, F.col("total_runs"))).alias(f"over_{o}")
-            for o in range(1, OVERS + 1)
-        ])
-    )
+    if parts is None:
+        before = clip(F.col("cumulative_wickets") - F.col("is_wicket"), 0, 9).cast("int").alias("wickets_before")
+        parts = deliveries.filter(F.col("innings") == 1).groupBy(before, "over").agg(F.sum("total_runs").alias("runs"), F.count("total_runs").alias("balls"))
+    at = lambda o, c: F.sum(F.when(F.col("over") == o, F.col(c)))
+    grid = parts.groupBy("wickets_before").agg(*[
+        F.when(at(o, "balls") > 0, at(o, "runs") / at(o, "balls")).alias(f"over_{o}") for o in range(1, OVERS + 1)
+    ])
     return _spine(deliveries.sparkSession, wickets_before=range(0, 10)).join(
         grid, "wickets_before", "left"
     ).orderBy("wickets_before")
 
 
-def economy_by_phase(deliveries: DataFrame, n: int = 20, phases=REPORT_PHASES) -> DataFrame:
+def economy_by_phase(deliveries: DataFrame, n: int = 20, phases=REPORT_PHASES, parts: DataFrame | None = None) -> DataFrame:
     """Economy by phase of the ``n`` bowlers with most balls, NULL where one never bowled.
 
     One scan: the totals per (bowler, phase) also give the overall figures.
     """
-    parts = (
+    parts = parts if parts is not None else (
         deliveries.filter(F.col("bowler").isNotNull())
         .groupBy("bowler", phase_name("over", phases).alias("phase"))
         .agg(F.sum("total_runs").alias("runs"), _balls().alias("balls"))
@@ -368,9 +372,9 @@ def partnership_summary(deliveries: DataFrame) -> DataFrame:
     ).orderBy("wicket_num")
 
 
-def extras_leakage(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
+def extras_leakage(deliveries: DataFrame, matches: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Wides and no-balls conceded per match by each franchise."""
-    per_match = (
+    per_match = parts if parts is not None else (
         deliveries.dropna(subset=["match_id", "bowling_team"]).groupBy("match_id", "bowling_team")
         .agg((F.coalesce(F.sum("wides"), F.lit(0)) + F.coalesce(F.sum("noballs"), F.lit(0))).alias("extras"))
     )
@@ -381,14 +385,14 @@ def extras_leakage(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
     return teams.join(franchises(matches), "team", "left_semi").orderBy("avg_per_match", "team")
 
 
-def scoring_zones(deliveries: DataFrame, phases=REPORT_PHASES, zones=SCORING_ZONES) -> DataFrame:
+def scoring_zones(deliveries: DataFrame, phases=REPORT_PHASES, zones=SCORING_ZONES, parts: DataFrame | None = None) -> DataFrame:
     """Share of dots, run-scoring balls and boundaries in each phase, in percent.
 
     Balls outside every zone (more than six off the bat) count nowhere.  A
     phase without balls has NULL shares.
     """
     zone = right_closed_band("batter_runs", zones)
-    parts = (
+    parts = parts if parts is not None else (
         deliveries.filter(F.col("wides") == 0)
         .select(phase_name("over", phases).alias("phase"), zone.alias("zone"))
         .filter(F.col("zone").isNotNull()).groupBy("phase")

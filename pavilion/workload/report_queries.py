@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import TARGET_BANDS
-from ..operators import par, reports
+from ..operators import cube, par, reports
 from ..operators.innings import running_totals
 from ..sources.tables import with_season_year
+from ..session import written
 from . import tables
 from .registry import register, rounded
 from .sql_views import even, near, query
@@ -307,3 +308,43 @@ FROM ({_PAR_SCORES}) JOIN (SELECT venue, count(*) AS all_matches FROM sparse GRO
                 sparse=_SPARSE, **par_ctes("sparse")))
 def par_listing(spark, sf_dir):
     return par.par_listing(_sparse(spark, sf_dir))
+
+
+# The same sets of keys in SQL; a set is told by the keys that are left out of it.
+_CUBE_KEYS = ", ".join(cube.KEYS)
+_CUBE_SETS = ", ".join(f"({', '.join(keys)})" for keys in cube.SETS.values())
+_CUBE_BY = " ".join(
+    f"WHEN {sum(1 << (len(cube.KEYS) - 1 - i) for i, k in enumerate(cube.KEYS) if k not in keys)} THEN '{name}'" for name, keys in cube.SETS.items())
+_COUNTS = {
+    "balls": "count(total_runs)", "fallen": "count(*) FILTER (is_wicket = 1)", "legal": "count(*) FILTER (wides = 0)",
+    "bat_balls": "count(batter_runs) FILTER (wides = 0)", "fours": "count(*) FILTER (wides = 0 AND batter_runs = 4)",
+    "sixes": "count(*) FILTER (wides = 0 AND batter_runs = 6)", "first_balls": "count(*) FILTER (innings = 1)",
+    "pp_balls": "count(*) FILTER (innings = 1 AND in_powerplay = 1)",
+    "runs": "sum(total_runs)", "wickets": "sum(is_wicket)", "bat_runs": "sum(batter_runs) FILTER (wides = 0)", "wides": "sum(wides)",
+    "noballs": "sum(noballs)", "pp_runs": "sum(total_runs) FILTER (innings = 1 AND in_powerplay = 1)",
+    "death_runs": "sum(total_runs) FILTER (innings = 1 AND over >= 17)",
+}
+
+
+@register(query(["running_balls"], f"""
+SELECT CASE grouping({_CUBE_KEYS}) {_CUBE_BY} END AS by, {_CUBE_KEYS}, {', '.join(f'CAST({v} AS BIGINT) AS {k}' for k, v in _COUNTS.items())}
+FROM (SELECT *, CAST(least(greatest(cumulative_wickets - is_wicket, 0), 9) AS INTEGER) AS wickets_before,
+        CASE WHEN batter_runs = 0 THEN 'dot' WHEN batter_runs BETWEEN 1 AND 3 THEN 'running' WHEN batter_runs BETWEEN 4 AND 6 THEN 'boundary' END AS zone
+      FROM running_balls)
+GROUP BY GROUPING SETS ({_CUBE_SETS})"""))
+def ball_cube(spark, sf_dir):
+    """Everything the reports need of the balls, in one pass."""
+    return cube.ball_cube(running_totals(tables.balls(spark, sf_dir)))
+
+
+@register(query(["running_balls"], f"""
+SELECT innings, over, {near('runs_for_mean / n::DOUBLE')} AS avg_runs, w AS wickets, {near('w / m::DOUBLE')} AS wickets_per_match
+FROM (SELECT innings, over, sum(total_runs) AS runs_for_mean, count(*) AS n, count(*) FILTER (is_wicket = 1) AS w,
+        (SELECT count(DISTINCT match_id) FROM running_balls) AS m FROM running_balls WHERE innings IN (1, 2) GROUP BY ALL)"""))
+def overs_from_cube(spark, sf_dir):
+    """Two reports answered by the written cube alone."""
+    balls = running_totals(tables.balls(spark, sf_dir))
+    parts = cube.parts_of(written(cube.ball_cube(balls), "ball-cube"))
+    overs = parts["matches"].join(F.broadcast(parts["wickets_by_over"]), F.lit(True), "left")  # one row, and one per over of the game
+    both = reports.runs_by_over(balls, parts["runs_by_over"]).join(reports.wickets_by_over(balls, overs), ["innings", "over"])
+    return rounded(both)

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pavilion.operators import reports
 
@@ -151,3 +152,39 @@ def test_extras_only_of_franchises(deliveries, rows, data):
     assert set(got) == {"T0", "T1"}
     for t, r in got.items():
         assert (r.avg_per_match, r.total, r.matches) == (pytest.approx(want.loc[t, "mean"]), want.loc[t, "sum"], want.loc[t, "count"])
+
+
+def test_reports_from_the_cube_are_those_of_the_balls(spark, rows, tmp_path):
+    """Every report that has parts, with NULL keys, super overs and an empty table; the balls are scanned twice."""
+    from pavilion.operators import cube
+    from pavilion.plans.reports import all_reports
+
+    odd = [dict(match_id=None, innings=1, over=3, ball=1, total_runs=4, batter_runs=4, wides=0, noballs=0, is_wicket=0, cumulative_wickets=0, in_powerplay=1),
+           dict(match_id="9", innings=3, bowling_team="T0", over=1, ball=1, bowler="b1", batter="p1", total_runs=6, batter_runs=6, wides=0, noballs=0, is_wicket=1,
+                cumulative_wickets=1, in_powerplay=0, wicket_kind="caught"),
+           dict(match_id="9", innings=1, bowling_team=None, over=None, ball=1, bowler=None, batter="p9", total_runs=None, batter_runs=None, wides=1, noballs=None,
+                is_wicket=0, cumulative_wickets=0, in_powerplay=None)]
+    names = "match_id string, winner string, toss_winner string, toss_decision string, team1 string, team2 string, season string, " \
+            "innings1_runs int, innings2_runs int, innings1_wickets int, innings2_wickets int, innings2_team string, win_by_runs int, win_by_wickets int"
+    matches = rows([dict(match_id=str(m), winner="T0", toss_winner="T0", toss_decision="bat", team1=f"T{m % 3}", team2=f"T{(m + 1) % 3}", season="2020",
+                         innings1_runs=100 + m * 7 % 5, innings2_runs=90, innings1_wickets=m, innings2_wickets=3, innings2_team="T1", win_by_runs=m) for m in range(10)], names)
+    place = str(tmp_path / "balls")
+    rows([*balls(), *odd], BALLS).write.parquet(place)
+    whole = spark.read.parquet(place)
+    for df, some in ((whole, None), (whole.where("innings = 3"), {"wickets_by_over", "score_acceleration", "scoring_zones"})):
+        got = all_reports(matches, df)
+        with_year = matches.withColumn("season_year", F.lit(2020))
+        want = {
+            **{n: getattr(reports, n)(df) for n in ("top_batters", "top_bowlers", "runs_by_over", "wickets_by_over", "score_acceleration", "dismissal_mix",
+                                                    "pressure_grid", "economy_by_phase", "scoring_zones")},
+            "powerplay_points": reports.powerplay_points(with_year, df), "extras_leakage": reports.extras_leakage(df, matches),
+            "correlation_matrix": reports.correlation_matrix(reports.correlation_input(matches, df), reports.CORRELATED),
+        }
+        for name, table in want.items():
+            if some and name not in some:
+                continue
+            a, b = (sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in t.collect()), key=str) for t in (got[name].select(table.columns), table))
+            assert a == b, name
+    scans = [name for name, t in all_reports(matches, whole).items() if any(place in f for f in t.inputFiles())]
+    assert scans == ["partnership_summary"]  # the cube itself is the other scan
+    assert set(cube.parts_of(cube.ball_cube(whole))) >= {"top_batters", "scoring_zones"}
