@@ -13,7 +13,7 @@ from ..plans import jobs
 from ..schemas import DELIVERIES, MATCHES
 from ..session import shared_folder, written
 from ..sources.documents import delivery_rows, match_rows, parse_documents, quarantined, usable
-from ..sources.tables import feature_summary, read_csv, read_deliveries, read_matches, run_summary, write_table
+from ..sources.tables import feature_summary, read_csv, read_deliveries, read_matches, run_summary, write_clustered, write_table
 from . import tables
 from .registry import register, rounded
 from .sql_views import even, near, query
@@ -233,6 +233,13 @@ def innings_phase_totals(spark, sf_dir):
     return phase_totals(tables.balls(spark, sf_dir))
 
 
+@register(query(["balls"], f"SELECT match_id, {PHASE_SQL} FROM balls GROUP BY match_id"))
+def clustered_phase_totals(spark, sf_dir):
+    """The same from a table that lies by match: no row moves when it is read."""
+    path = written_path(spark, "clustered")
+    return phase_totals(write_clustered(tables.balls(spark, sf_dir), f"balls_{path.rpartition('-')[2]}", path, 16))
+
+
 BATTING_SQL = """
 SELECT b.match_id, b.innings, batting_team, b.batter, runs, balls_faced, fours, sixes, dot_balls,
   runs * 100.0::DOUBLE / balls_faced AS strike_rate, (fours + sixes) * 100.0::DOUBLE / balls_faced AS boundary_pct,

@@ -20,3 +20,20 @@ def test_csv_with_line_breaks(spark, tmp_path):
 def test_csv_without_a_line(spark, tmp_path):
     (tmp_path / "a.csv").write_text("")
     assert read_csv(spark, str(tmp_path), SCHEMA).count() == 0
+
+
+def test_clustered_table_is_read_where_it_lies(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from pavilion.operators.innings import phase_totals
+    from pavilion.sources.tables import write_clustered
+
+    rows = spark.range(600).select(
+        F.concat(F.lit("m"), F.col("id") % 7).alias("match_id"), (1 + F.col("id") % 2).cast("int").alias("innings"), (1 + F.col("id") % 20).cast("int").alias("over"),
+        F.col("id").cast("int").alias("ball"), (F.col("id") % 5).cast("int").alias("total_runs"), (F.col("id") % 5).cast("int").alias("batter_runs"),
+        F.lit(0).alias("is_wicket"), F.lit(1).alias("in_powerplay"))
+    table = write_clustered(rows, "clustered_balls", str(tmp_path / "clustered"), 4)
+    totals = phase_totals(table)
+    assert "Exchange" not in totals._jdf.queryExecution().executedPlan().toString()
+    assert sorted(totals.collect()) == sorted(phase_totals(rows).collect()) and table.count() == 600
+    spark.sql("DROP TABLE clustered_balls")
