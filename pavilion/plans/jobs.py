@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import metrics
 from ..session import leaving_nothing, written
 from ..sources.documents import delivery_rows, match_rows, quarantined, read_documents, usable
-from ..sources.tables import feature_summary, read_deliveries, read_matches, write_table
+from ..sources.tables import feature_summary, read_deliveries, read_matches, run_summary, write_table
 from . import models, serving, training
 from .features import feature_tables
 from .reports import all_reports
@@ -23,13 +22,13 @@ def ingest(spark: SparkSession, documents: str, out: str, single: str | None = N
     with leaving_nothing(spark):
         parsed = written(read_documents(spark, documents, single, **layout), "documents")  # parse each text once
         good = usable(parsed)
-        counts = {}
-        for name, rows in (("matches", match_rows(good)), ("deliveries", delivery_rows(good)), ("errors", quarantined(parsed))):
-            counts[name] = Observation()  # counted while it is written: nothing is read again
-            observed = rows.observe(counts[name], F.count(F.lit(1)).alias("rows"))
-            write_table(observed, f"{out}/{'quarantine' if name == 'errors' else name}", form)
-        row = tuple(counts[name].get["rows"] for name in ("matches", "errors", "deliveries"))
-        return spark.createDataFrame([row], "matches long, errors long, deliveries long")
+        write_table(match_rows(good), f"{out}/matches", form)
+        write_table(delivery_rows(good), f"{out}/deliveries", form)
+        write_table(quarantined(parsed), f"{out}/quarantine", form)
+        # Counting a Parquet table reads its footers only.  Observations are no way here: a session that has used one
+        # can no longer serialize the transformers of Spark ML, which a later job of the same session needs.
+        summary = run_summary(parsed, read_deliveries(spark, f"{out}/deliveries", form))
+        return spark.createDataFrame(summary.collect(), summary.schema)  # one row
 
 
 def build_features(spark: SparkSession, tables: str, out: str, form: str = "parquet", **options) -> DataFrame:
