@@ -69,17 +69,18 @@ def plan(docs: DataFrame, **how) -> DataFrame:
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: every document as often as its copies say, with its own columns."""
+    """The mixed corpus: every document as often as its copies say, with its own columns.
+
+    The caller's columns come back as they are, whatever their names.  Rows that repeat an id and a text are decided alike, each for
+    itself; a NULL id or text draws as an empty one; a NULL source is a source; a document without words is emitted
+    at its source's rate and adds nothing; an empty table gives an empty result.
+    """
     from .common import kept
 
-    columns = docs.columns
     rates = kept(targets(kept(sized(docs).select("source", "size")), **how)).select("source", "rate")
-    rows = rated(docs.withColumn("draw", draw()).drop("rate"), rates) if "rate" not in columns else None
-    if rows is None:  # a column of that name is the caller's own
-        own = docs.withColumnRenamed("rate", "__rate")
-        rows = rated(own.withColumn("draw", draw()), rates)
-        columns = [F.col("__rate").alias("rate") if c == "rate" else F.col(c) for c in columns]
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(copies(), F.lit(1))))).where(copies() > 0).select(*columns)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "source", draw().alias("draw"))
+    rows = rated(own, rates).where(copies() > 0)
+    return rows.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(copies(), F.lit(1)))).alias("__copy")).select("__row.*")
 
 
 ORACLE = """

@@ -47,6 +47,18 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
     assert sorted(map(tuple, mixing.plan(odd_docs).collect()), key=str) == sorted(map(tuple, plan), key=str)
 
 
+def test_mix_gives_back_columns_of_any_name(odd_docs):
+    from pyspark.sql import functions as F
+
+    named = odd_docs.drop("rate").withColumns({"draw": F.lit(42.0), "Rate": F.lit("own"), "__copy": F.lit(3), "copies": F.lit(None).cast("int")})
+    mixed = mixing.mix(named)
+    assert mixed.columns == named.columns and mixed.schema["draw"].dataType == named.schema["draw"].dataType
+    assert {(r.draw, r.Rate, r["__copy"], r.copies) for r in mixed.collect()} == {(42.0, "own", 3, None)}
+    per = {(r.doc_id, r.copies) for r in mixing.plan(odd_docs).collect()}
+    got = [r.doc_id for r in mixed.collect()]
+    assert len(got) == sum(r.copies for r in mixing.plan(odd_docs).collect()) and {d for d, n in per if n} == set(got)
+
+
 def test_ids_are_the_tokenizers(spark, small):
     from tokenizers import Tokenizer
 
