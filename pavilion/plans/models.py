@@ -95,7 +95,7 @@ class Sizes:
     fits: int = 8
 
 
-def _side_by_side(spark: SparkSession, calls: list[Callable], fits: int) -> list:
+def side_by_side(spark: SparkSession, calls: list[Callable], fits: int) -> list:
     """Results of independent fits, a few at a time: each is many small jobs that leave most of a cluster idle."""
     with ThreadPoolExecutor(max(1, fits)) as pool:
         return [f.result() for f in [pool.submit(copy_context().run, inheritable_thread_target(spark)(c)) for c in calls]]
@@ -246,7 +246,7 @@ def _grown(tables: list[Table], learners: dict, sizes: Sizes, folds: int, with_t
     """The trees of all learners, and set, id, label, fold with ``base_<name>`` by the fit that has not seen the row."""
     spark = tables[0].rows.sparkSession
     calls = [partial(trees.grow, tables, how, name, folds, with_trees=with_trees) for name, how in learners.items()]
-    made = _side_by_side(spark, calls, sizes.fits)
+    made = side_by_side(spark, calls, sizes.fits)
     rows, grown = None, None
     for name, (model, values) in zip(learners, made, strict=True):
         values = values.withColumnRenamed("value", f"base_{name}")
@@ -273,7 +273,7 @@ def out_of_fold(spec: Spec, ready: DataFrame, sizes: Sizes, folds: int = FOLDS)
         return _grown([Table.of(ready, f"{spec.name}-ready")], learners, sizes, folds, with_trees=False)[1].drop("set", "id")
     todo = [(i, name, learner) for i in range(folds) for name, learner in learners.items()]
     calls = [partial(e.fit, ready.filter(F.col("fold") != i)) for i, _, e in todo]
-    models = _side_by_side(ready.sparkSession, calls, sizes.fits)
+    models = side_by_side(ready.sparkSession, calls, sizes.fits)
     parts = None
     for i in range(folds):
         held = ready.filter(F.col("fold") == i)
@@ -299,7 +299,7 @@ def cross_validate(spec: Spec, train: DataFrame, sizes: Sizes = Sizes(), folds:
         parts = [prepared.transform(p).select("label", "features", "fold") for p in (spec.folds(inside, folds), held)]
         return Table.of(parts[0].unionByName(parts[1]), f"{spec.name}-without-{i}")
 
-    tables = _side_by_side(train.sparkSession, [partial(table, i) for i in range(folds)], sizes.fits)
+    tables = side_by_side(train.sparkSession, [partial(table, i) for i in range(folds)], sizes.fits)
     learners = spec.learners(sizes)
     rows = _grown(tables, learners, sizes, folds, with_trees=False)[1]
 
@@ -312,7 +312,7 @@ def cross_validate(spec: Spec, train: DataFrame, sizes: Sizes = Sizes(), folds:
         return held.agg(F.lit(i).alias("fold"), F.avg(value).alias("score"))
 
     parts = None
-    for part in _side_by_side(train.sparkSession, [partial(score, i) for i in range(folds)], sizes.fits):
+    for part in side_by_side(train.sparkSession, [partial(score, i) for i in range(folds)], sizes.fits):
         parts = part if parts is None else parts.unionByName(part)
     return parts
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -544,10 +544,11 @@ def score_evaluation(spark, sf_dir):
 
 def _predictions(spark, sf_dir):
     tabs = _features(spark, sf_dir)
-    table, scored = _held(spark, sf_dir, models.SCORE, tabs)
+    (table, scored), winner = models.side_by_side(spark, [  # the two models do not wait for each other
+        partial(_held, spark, sf_dir, models.SCORE, tabs),
+        lambda: _trained(spark, sf_dir, models.WINNER, _table(spark, sf_dir, models.WINNER, tabs))], 2)
     unknown = spark.range(1).select(F.lit(None).cast("double").alias("cv_mean"))  # no cross-validation is run here
     metadata = metrics.residual_metadata(scored, table, unknown)
-    winner = _trained(spark, sf_dir, models.WINNER, _table(spark, sf_dir, models.WINNER, tabs))
     score = _trained(spark, sf_dir, models.SCORE, table)
     return serving.predict(_asked(spark, sf_dir, tabs[0]), *tabs, winner, score, metadata, homes=tables.FIXTURE_HOMES)
 
