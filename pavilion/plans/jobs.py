@@ -72,8 +72,8 @@ def train_winner(spark: SparkSession, features: str, out: str,
 def _train_winner(spark, features, out, sizes, folds):
     table = written(training.winner_table(*read_features(spark, features)), "winner-table")
     train, test = training.split(table)
-    cv = written(models.cross_validate(models.WINNER, train, sizes, folds), "winner-cv")
-    model = models.fit(models.WINNER, train, sizes, folds)
+    model, cv = models.fit_and_validate(models.WINNER, train, sizes, folds)
+    cv = written(cv, "winner-cv")
     model.save(f"{out}/winner_model")
     scored = written(model.transform(test), "winner-test")
     summary = models.cv_summary(cv)
@@ -95,8 +95,8 @@ def train_score(spark: SparkSession, features: str, out: str,
 def _train_score(spark, features, out, sizes, folds):
     table = written(training.score_table(*read_features(spark, features)), "score-table")
     train, test = training.split(table)
-    cv = written(models.cross_validate(models.SCORE, train, sizes, folds), "score-cv")
-    model = models.fit(models.SCORE, train, sizes, folds)
+    model, cv = models.fit_and_validate(models.SCORE, train, sizes, folds)
+    cv = written(cv, "score-cv")
     model.save(f"{out}/score_model")
     scored = written(model.transform(test), "score-test")
     summary = models.cv_summary(cv)

@@ -242,16 +242,16 @@ def fit(spec: Spec, train: DataFrame, sizes: Sizes = Sizes(), folds: int = FOLDS
     return StackedModel(spec, prepared, learners, grown.where("fold = -1"), meta)
 
 
-def _grown(tables: list[Table], learners: dict, sizes: Sizes, folds: int, with_trees: bool = True) -> tuple[DataFrame | None, DataFrame]:
+def _grown(tables: list[Table], learners: dict, sizes: Sizes, folds: int, trees_of: list[int] | None = None) -> tuple[DataFrame | None, DataFrame]:
     """The trees of all learners, and set, id, label, fold with ``base_<name>`` by the fit that has not seen the row."""
     spark = tables[0].rows.sparkSession
-    calls = [partial(trees.grow, tables, how, name, folds, with_trees=with_trees) for name, how in learners.items()]
+    calls = [partial(trees.grow, tables, how, name, folds, trees_of=trees_of) for name, how in learners.items()]
     made = side_by_side(spark, calls, sizes.fits)
     rows, grown = None, None
     for name, (model, values) in zip(learners, made, strict=True):
         values = values.withColumnRenamed("value", f"base_{name}")
         rows = values if rows is None else rows.join(values.drop("label", "fold"), ["set", "id"])
-        grown = model if grown is None else grown.unionByName(model)
+        grown = model if grown is None or model is None else grown.unionByName(model)
     return grown, written(rows, "out-of-fold")
 
 
@@ -270,7 +270,7 @@ def out_of_fold(spec: Spec, ready: DataFrame, sizes: Sizes, folds: int = FOLDS)
     """Base predictions for every row by models that have not seen its fold; learners are ``Trees`` or Spark ML estimators."""
     learners = spec.learners(sizes)
     if all(isinstance(e, Trees) for e in learners.values()):
-        return _grown([Table.of(ready, f"{spec.name}-ready")], learners, sizes, folds, with_trees=False)[1].drop("set", "id")
+        return _grown([Table.of(ready, f"{spec.name}-ready")], learners, sizes, folds, [])[1].drop("set", "id")
     todo = [(i, name, learner) for i in range(folds) for name, learner in learners.items()]
     calls = [partial(e.fit, ready.filter(F.col("fold") != i)) for i, _, e in todo]
     models = side_by_side(ready.sparkSession, calls, sizes.fits)
@@ -284,25 +284,17 @@ def out_of_fold(spec: Spec, ready: DataFrame, sizes: Sizes, folds: int = FOLDS)
     return written(parts, f"{spec.name}-out-of-fold")
 
 
-def cross_validate(spec: Spec, train: DataFrame, sizes: Sizes = Sizes(), folds: int = FOLDS) -> DataFrame:
-    """(fold, score): accuracy of the winner model, mean absolute error of the score model.
-
-    Preparation, inner folds and model above are those of each fold's own training rows; the trees of all folds and all
-    inner folds are grown in the same passes.
-    """
-    numbered = written(spec.folds(train, folds), f"{spec.name}-outer")
+def _without(spec: Spec, numbered: DataFrame, i: int, folds: int) -> Table:
+    """The rows outside fold ``i`` with preparation and inner folds of their own; those of fold ``i`` as rows that no fit may see."""
+    inside = as_inputs(numbered.filter(F.col("fold") != i).drop("fold"), spec.categorical, spec.numeric)
+    prepared = prepare(inside, spec.categorical, spec.numeric)
+    held = as_inputs(numbered.filter(F.col("fold") == i), spec.categorical, spec.numeric).withColumn("fold", F.lit(-1))
+    parts = [prepared.transform(p).select("label", "features", "fold") for p in (spec.folds(inside, folds), held)]
+    return Table.of(parts[0].unionByName(parts[1]), f"{spec.name}-without-{i}")
 
-    def table(i: int) -> Table:
-        inside = as_inputs(numbered.filter(F.col("fold") != i).drop("fold"), spec.categorical, spec.numeric)
-        prepared = prepare(inside, spec.categorical, spec.numeric)
-        held = as_inputs(numbered.filter(F.col("fold") == i), spec.categorical, spec.numeric).withColumn("fold", F.lit(-1))
-        parts = [prepared.transform(p).select("label", "features", "fold") for p in (spec.folds(inside, folds), held)]
-        return Table.of(parts[0].unionByName(parts[1]), f"{spec.name}-without-{i}")
-
-    tables = side_by_side(train.sparkSession, [partial(table, i) for i in range(folds)], sizes.fits)
-    learners = spec.learners(sizes)
-    rows = _grown(tables, learners, sizes, folds, with_trees=False)[1]
 
+def _scores(spec: Spec, rows: DataFrame, learners: dict, sizes: Sizes, folds: int) -> DataFrame:
+    """(fold, score) of the held-out rows of sets 0 to ``folds`` - 1, each with a linear model of its own above."""
     def score(i: int) -> DataFrame:
         own = rows.where(F.col("set") == i)
         meta = fit_meta(own.where("fold >= 0"), list(learners), spec.classifies)
@@ -312,10 +304,39 @@ def cross_validate(spec: Spec, train: DataFrame, sizes: Sizes = Sizes(), folds:
         return held.agg(F.lit(i).alias("fold"), F.avg(value).alias("score"))
 
     parts = None
-    for part in side_by_side(train.sparkSession, [partial(score, i) for i in range(folds)], sizes.fits):
+    for part in side_by_side(rows.sparkSession, [partial(score, i) for i in range(folds)], sizes.fits):
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
+def cross_validate(spec: Spec, train: DataFrame, sizes: Sizes = Sizes(), folds: int = FOLDS) -> DataFrame:
+    """(fold, score): accuracy of the winner model, mean absolute error of the score model.
+
+    Preparation, inner folds and model above are those of each fold's own training rows; the trees of all folds and all
+    inner folds are grown in the same passes.
+    """
+    numbered = written(spec.folds(train, folds), f"{spec.name}-outer")
+    tables = side_by_side(train.sparkSession, [partial(_without, spec, numbered, i, folds) for i in range(folds)], sizes.fits)
+    learners = spec.learners(sizes)
+    return _scores(spec, _grown(tables, learners, sizes, folds, [])[1], learners, sizes, folds)
+
+
+def fit_and_validate(spec: Spec, train: DataFrame, sizes: Sizes = Sizes(), folds: int = FOLDS) -> tuple[StackedModel, DataFrame]:
+    """What ``fit`` and ``cross_validate`` give, all trees of both grown in the same passes."""
+    numbered = written(spec.folds(train, folds), f"{spec.name}-outer")
+
+    def whole() -> tuple[PipelineModel, Table]:
+        inputs = as_inputs(train, spec.categorical, spec.numeric)
+        prepared = prepare(inputs, spec.categorical, spec.numeric)
+        return prepared, Table.of(prepared.transform(spec.folds(inputs, folds)), f"{spec.name}-prepared")
+
+    *tables, (prepared, table) = side_by_side(
+        train.sparkSession, [*[partial(_without, spec, numbered, i, folds) for i in range(folds)], whole], sizes.fits)
+    learners = spec.learners(sizes)
+    grown, rows = _grown([*tables, table], learners, sizes, folds, [folds])
+    meta = fit_meta(rows.where(F.col("set") == folds), list(learners), spec.classifies)
+    return StackedModel(spec, prepared, learners, grown.where("fold = -1"), meta), _scores(spec, rows, learners, sizes, folds)
+
+
 def cv_summary(scores: DataFrame) -> DataFrame:
     return scores.agg(F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"))

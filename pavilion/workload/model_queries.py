@@ -503,26 +503,29 @@ def model_round_trip(spark, sf_dir):
     return both.select("match_id", "label", (F.col("before") == F.col("prediction")).alias("agree"))
 
 
-def _validated(spark, sf_dir, spec, table):
-    return models.cross_validate(spec, training.split(table)[0])
+def _validated(spark, sf_dir, spec):
+    """The training table, predictions of its hold-out, and the cross-validated scores."""
+    table = _table(spark, sf_dir, spec)
+    train, test = training.split(table)
+    model, cv = models.fit_and_validate(spec, train)
+    return table, written(model.transform(test), f"{spec.name}-test"), models.cv_summary(cv)
 
 
 @register()
 def winner_cross_validation(spark, sf_dir):
     """Accuracy of the stacked winner model on each fold of the rows before the hold-out."""
-    return _validated(spark, sf_dir, models.WINNER, _table(spark, sf_dir, models.WINNER))
+    return models.cross_validate(models.WINNER, training.split(_table(spark, sf_dir, models.WINNER))[0])
 
 
 @register()
 def score_cross_validation(spark, sf_dir):
-    return _validated(spark, sf_dir, models.SCORE, _table(spark, sf_dir, models.SCORE))
+    return models.cross_validate(models.SCORE, training.split(_table(spark, sf_dir, models.SCORE))[0])
 
 
 @register()
 def winner_evaluation(spark, sf_dir):
     """Classification report, area under the curve and the gap to cross-validation, all of real predictions, one value a row."""
-    table, scored = _held(spark, sf_dir, models.WINNER)
-    summary = models.cv_summary(_validated(spark, sf_dir, models.WINNER, table))
+    table, scored, summary = _validated(spark, sf_dir, models.WINNER)
     gap = metrics.overfit_check(summary, metrics.accuracy(scored))
     report = metrics.classification_report(scored)
     rows = [report.select(F.lit("report").alias("part"), F.concat_ws(" ", "class", F.lit(c)).alias("name"), F.col(c).cast("double").alias("value"))
@@ -535,8 +538,7 @@ def winner_evaluation(spark, sf_dir):
 @register()
 def score_evaluation(spark, sf_dir):
     """Regression report and residual metadata of real predictions, with the cross-validated error, one value a row."""
-    table, scored = _held(spark, sf_dir, models.SCORE)
-    summary = models.cv_summary(_validated(spark, sf_dir, models.SCORE, table))
+    table, scored, summary = _validated(spark, sf_dir, models.SCORE)
     parts = {"report": metrics.regression_report(scored), "metadata": metrics.residual_metadata(scored, table, summary)}
     return reduce(DataFrame.unionByName, [
         df.select(F.lit(part).alias("part"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for part, df in parts.items() for c in df.columns])
