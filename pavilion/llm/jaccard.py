@@ -22,8 +22,8 @@ from .common import kept, map_texts, text_slices, texts, worker_table
 SHINGLE, LEAST = 3, (90, 100)
 #: Size classes grow by this factor; smaller ones share a first class.
 CLASS_RATIO = 1.5
-#: Parts beyond the fewest that do; texts with at most so many empty parts need not emit these.
-SPARE_PARTS = 2
+#: Parts beyond the fewest that do, as a share of these; every text leaves out as many of its parts, those of fewest tokens.
+SPARE_SHARE = 0.25
 #: Tokens of a task, and members of a group of the matrix.
 TASK_TOKENS, GROUP_MEMBERS = 200_000, 16
 
@@ -77,8 +77,10 @@ def needed(n: int | np.ndarray, least: tuple[int, int] = LEAST):
 def signatures(tokens: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
     """Keys of which two linked, different sets share at least one.
 
-    A class whose sets cannot differ and still link needs none.  Of parts + spare parts, more than the spare ones are equal
-    in two linked sets; so a set with few empty parts may leave these out.
+    A class whose sets cannot differ and still link needs none.  Linked sets have more equal parts than there are spare ones,
+    and all sets rank parts alike, by their number of tokens and then by their hash.  So the highest equal part of two linked sets
+    has at least the spare number of parts below it in both, and each set may leave out that many of its lowest: the
+    empty ones and those of a token or two, which texts that are no copies share by chance.
     """
     n, out = len(tokens), []
     k, end, classes = 0, 10, []
@@ -91,14 +93,15 @@ def signatures(tokens: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray
         differ = 2 * (end - 1) * (least[1] - least[0]) // (least[1] + least[0])
         if not differ:
             continue
-        parts = differ + 1 + SPARE_PARTS
+        spare = int((differ + 1) * SPARE_SHARE) + 1
+        parts = differ + 1 + spare
         part = ((_mixed(tokens + np.uint64(k), 3) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         present, first = np.unique(part[order], return_index=True)
         sums = np.zeros(parts, np.uint64)
         sums[present] = np.add.reduceat(_mixed(tokens[order], 1), first)
-        every = np.arange(parts) if parts - len(present) > SPARE_PARTS else present
-        out.append(_mixed(sums[every] + every.astype(np.uint64) * _M[0] + np.uint64(k * int(_M[3]) % (1 << 64)), 2))
+        keys = _mixed(sums + np.arange(parts, dtype=np.uint64) * _M[0] + np.uint64(k * int(_M[3]) % (1 << 64)), 2)
+        out.append(keys[np.lexsort((keys, np.bincount(part, minlength=parts)))[spare:]])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
