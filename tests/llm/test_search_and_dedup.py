@@ -71,16 +71,18 @@ def test_classes_of_the_table(spark):
     check_classes(spark, [tuple(r) for r in docs.select("doc_id", "text").collect()])
 
 
+@pytest.mark.parametrize("least", [(90, 100), (80, 100)])
 @pytest.mark.parametrize("size", [9, 10, 14, 15, 20, 33, 100, 400])
-def test_linked_sets_share_a_signature(size):
+def test_linked_sets_share_a_signature(size, least):
     rng = np.random.default_rng(size)
+    most = size * (least[1] - least[0]) // 90 + 2
     for _ in range(200):
         a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
-        gone, new = rng.integers(0, size // 9 + 2), rng.integers(0, size // 9 + 2)
+        gone, new = rng.integers(0, most), rng.integers(0, most)
         b = np.unique(np.r_[rng.permutation(a)[gone:], rng.integers(0, 1 << 62, new).astype(np.uint64)])
         both = len(np.intersect1d(a, b))
-        if 100 * both >= 90 * (len(a) + len(b) - both) and not np.array_equal(a, b):
-            assert np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)).size
+        if least[1] * both >= least[0] * (len(a) + len(b) - both) and not np.array_equal(a, b):
+            assert np.intersect1d(jaccard.signatures(a, least), jaccard.signatures(b, least)).size
 
 
 def test_representatives(spark, odd_docs, no_docs):
@@ -134,14 +136,38 @@ def test_neighbours_with_copies_and_odd_rows(spark):
     assert ann.search(vectors.where("vec_id in (0, 1)"), F.col("vec_id") % 20 == 0).collect()[0].vec_id == 1
 
 
+def test_neighbours_beyond_the_sample(spark, monkeypatch):
+    """Recall where the lists are fitted on a fifth of the rows, and whose tuning queries the means have not seen."""
+    monkeypatch.setattr(ann, "MAX_SAMPLE", 2000)
+    monkeypatch.setattr(ann, "TASK_ROWS", 700)
+    monkeypatch.setattr(ann, "TASK_QUERIES", 60)
+    vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
+    want = brute_near([(r.vec_id, r.embedding) for r in vectors.collect()], 20)
+    got = found(ann.search(vectors, F.col("vec_id") % 20 == 0).collect())
+    recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
+    print("recall", recall)
+    assert got.keys() == want.keys() and recall >= 0.9
+
+
+def test_an_id_with_two_vectors_asks_once(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.9, 0.0]), (2, [-0.0, 0.8]), (3, [0.5, 0.5])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, 0.9), (2, 2, 0.8), (3, 3, 0.5)]
+
+
 def test_scan_abandons_no_near_candidate():
     rng = np.random.default_rng(4)
     x, q = rng.normal(size=(2000, 64)), rng.normal(size=(10, 64))
     square = float((x * x).sum(axis=1).max())
     index = ann.fit(x[:500], 500, square)
-    got = ann.scan(x, np.arange(2000), q, index, 20)
+    lists = np.arange(2000) % 7
+    a, ids, score = ann.scan(x, np.arange(2000), lists, q, [np.arange(7)] * 10, index, 20)
     want = np.argsort(-(q @ x.T), axis=1)[:, :20]
-    assert np.mean([len(set(g[0].tolist()) & set(w.tolist())) / 20 for g, w in zip(got, want)]) > 0.98
+    assert np.mean([len(set(ids[a == k].tolist()) & set(w.tolist())) / 20 for k, w in enumerate(want)]) > 0.97
+    assert np.array_equal(score, (q[a] * x[ids]).sum(axis=1))
+    floor = np.sort(q @ x.T, axis=1)[:, -20]
+    b, near, _ = ann.scan(x, np.arange(2000), lists, q, [np.array([2, 5])] * 10, index, 20, floor)
+    assert np.isin(lists[near], (2, 5)).all() and all(set(near[b == k].tolist()) <= set(w.tolist()) for k, w in enumerate(want))
 
 
 def plain_words(text):
