@@ -3,6 +3,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pavilion.llm import mixing, packing
 from pavilion.llm.common import table
@@ -109,6 +110,21 @@ def test_packing_of_odd_rows(odd_docs, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_equal_pieces_part_into_even_groups(spark):
+    rows = spark.range(20_000, numPartitions=3).selectExpr("7L as doc_id", "0 as piece", "0L as start", "1000L as length", "5L as ids_crc32")
+    got = [r["count"] for r in packing.packed_groups(rows, 4096, 3)[0].groupBy(F.expr("sequence_id >> 32").alias("g")).count().collect()]
+    assert len(got) == 5 and sum(got) == 20_000 and max(got) < 1.1 * packing.GROUP_PIECES
+    placed = packing.pack(rows).groupBy("sequence_id").agg(F.count("*").alias("n"), F.countDistinct("offset").alias("m"), F.max("offset").alias("o")).collect()
+    assert len(placed) == 5_000 and all((r.n, r.m, r.o) == (4, 4, 3000) for r in placed)
+
+
+def test_what_groups_leave_is_packed_together(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 10)
+    rows = spark.range(200, numPartitions=4).selectExpr("id as doc_id", "0 as piece", "0L as start", "300L as length", "id as ids_crc32")
+    once = packing.packed_groups(rows, 4096, 0)[0].select("sequence_id").distinct().count()
+    assert packing.pack(rows).select("sequence_id").distinct().count() < once
+
+
 def test_local_search_empties_a_bin():
     # best fit decreasing leaves three bins, two suffice
     lengths = np.array([6, 5, 4, 3, 2])
