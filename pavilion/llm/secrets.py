@@ -35,8 +35,8 @@ LEAST_SCORE = 4.0
 _HINTS = tuple(p for p in NAME_PARTS if not any(q != p and q in p for q in NAME_PARTS))
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _TOKEN = re.compile(r"""
-    (?P<space>[\x20\t]+)
-  | (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
+    (?P<space>(?:[\x20\t]|\\\r?\n)+)
+  | (?P<string>\"{3}(?:[^"\\]|\\.|\"(?!""))*\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
   | (?P<op>:=|=>|==|!=|<=|>=|=|:)
   | (?P<plus>\+)
   | (?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.\-][A-Za-z_][A-Za-z0-9_]*)*)
@@ -44,6 +44,9 @@ _TOKEN = re.compile(r"""
   | (?P<end>\n|;|,)
   | (?P<other>.)
 """, re.X | re.S)
+_BARE = re.compile(r"[A-Za-z0-9_+/.=\-]+")
+#: Letters that may stand directly before a string.
+_PREFIX = {"r", "b", "f", "u", "rb", "br", "fr", "rf"}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,93 +73,151 @@ def literal_score(value: str) -> float:
     return min(entropy, 4.0) / 2 + 0.5 * (kinds - 1) + (0.5 if n >= 16 else 0.0)
 
 
-def pairs(text: str):
-    """(target name, values) of assignments.
-
-    A value is a sum of string literals, names and, directly after the operator, one bare word up to white space.  Each is given
-    as ("literal", start, end) or ("name", text); the caller looks names up among earlier assignments.
-    """
-    name, values, state = None, [], "idle"
-    for m in _TOKEN.finditer(text):
-        kind = m.lastgroup
-        if kind == "space":
-            continue
-        if state == "idle":
-            if kind == "name" or kind == "string":
-                name = m.group().strip("\"'")
-                state = "named"
-            continue
-        if state == "named":
-            if kind == "op" and m.group() in ("=", ":", ":=", "=>"):
-                state, values = "value", []
-            elif kind in ("name", "string"):
-                name = m.group().strip("\"'")
+class Source:
+    """The tokens of a text, and readers of assignments among them."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.tokens = [(m.lastgroup, m.start(), m.end()) for m in _TOKEN.finditer(text) if m.lastgroup != "space"]
+        self.tokens.append(("end", len(text), len(text)))
+
+    def word(self, i: int) -> str:
+        return self.text[self.tokens[i][1]:self.tokens[i][2]]
+
+    def kind(self, i: int) -> str:
+        return self.tokens[i][0] if i < len(self.tokens) else "end"
+
+    def inner(self, i: int) -> tuple[int, int]:
+        """A string's content."""
+        _, a, b = self.tokens[i]
+        quotes = 3 if b - a >= 6 and self.text[a:a + 3] in ('"' * 3, "'" * 3) else 1
+        return a + quotes, b - quotes
+
+    def after_lines(self, i: int) -> int:
+        while i < len(self.tokens) - 1 and self.word(i) == "\n":
+            i += 1
+        return i
+
+    def operator(self, i: int) -> int | None:
+        """The position of the operator that assigns to a target which ends before ``i``: after closing brackets, past a type."""
+        while self.kind(i) == "other" and self.word(i) == "]":
+            i += 1
+        if self.kind(i) != "op" or self.word(i) not in ("=", ":", ":=", "=>"):
+            return None
+        if self.word(i) == ":":
+            to, last = i + 1, "other"
+            while (kind := self.kind(to)) in ("name", "other") and self.word(to) not in "(){}" and not kind == last == "name":
+                to, last = to + 1, kind
+            if to > i + 1 and self.kind(to) == "op" and self.word(to) == "=" and self.text[self.tokens[to][1] - 1].isspace():
+                return to
+        return i
+
+    def value(self, at: int, quoted: bool) -> tuple[list, int]:
+        """The terms of the sum after the operator ``at``, as ("literal", start, end) or ("name", text, span or None), and the position after it.
+
+        A string is a literal.  A bare word is one if it is no name, or stands where configuration puts values: after a colon or an equals sign
+        without spaces, and not as an argument, a member of a list or a call.  Names carry their span where they may be literals.
+        Sums go on over line ends after a plus, within round brackets and after a backslash; strings side by side are a sum.
+        """
+        _, a, b = self.tokens[at]
+        tight = self.word(at) == "=" and not self.text[a - 1:a].isspace() and not self.text[b:b + 1].isspace()
+        plain = tight or self.word(at) == ":" and not quoted
+        terms, depth, i, wait = [], 0, at + 1, True
+        while i < len(self.tokens) - 1:
+            kind, start, end = self.tokens[i]
+            word = self.text[start:end]
+            if word == "\n" and (depth or wait and terms):
+                i += 1
+            elif word == "(" and wait:
+                depth, i = depth + 1, i + 1
+            elif word == ")" and depth:
+                depth, i = depth - 1, i + 1
+            elif kind == "plus" and not wait:
+                wait, i = True, i + 1
+            elif kind == "string" and (wait or terms[-1][0] == "literal" and self.kind(i - 1) in ("string", "end") and (depth or self.kind(i - 1) == "string")):
+                terms.append(("literal", *self.inner(i)))
+                wait, i = False, i + 1
+            elif kind == "name" and wait and word.lower() in _PREFIX and self.kind(i + 1) == "string" and self.tokens[i + 1][1] == end:
+                i += 1
+            elif kind in ("name", "bare") and wait:
+                run = _BARE.match(self.text, start).end()
+                follows = self.text[run:run + 1]
+                if follows and follows in "([":
+                    return [], i + 1  # a call or a member: its value is unknown
+                if kind == "bare" or run > end and (plain or self.text[end] != "+"):
+                    terms.append(("literal", start, run))
+                    while self.tokens[i][2] < run:
+                        i += 1
+                else:
+                    free = plain and not depth and not (follows and follows in ",)}")
+                    terms.append(("name", word, (start, end) if free else None))
+                wait, i = False, i + 1
             else:
-                state = "idle"
-            continue
-        if state == "value":
-            if kind == "string":
-                values.append(("literal", m.start() + 1, m.end() - 1))
-                state = "after"
-                continue
-            if kind == "name":
-                values.append(("name", m.group(), m.start(), m.end()))
-                state = "after"
-                continue
-            if kind == "bare":
-                values.append(("literal", m.start(), m.end()))
-                state = "after"
-                continue
-        if state == "after":
-            if kind == "plus":
-                state = "value"
-                continue
-            if kind == "bare" and values[-1][0] == "name" and values[-1][3] == m.start():  # a bare value that begins like a name
-                values[-1] = ("literal", values[-1][2], m.end())
-                continue
-            if kind == "bare" and values[-1][0] == "literal" and values[-1][2] == m.start():
-                values[-1] = ("literal", values[-1][1], m.end())
-                continue
-        yield name, values
-        name, values, state = (m.group().strip("\"'"), [], "named") if kind in ("name", "string") else (None, [], "idle")
-    if values:
-        yield name, values
+                break
+        return terms, i
+
+    def assignments(self):
+        """(target name, terms) in the order of the text; a name or string directly before an operator is a target."""
+        i = 0
+        while i < len(self.tokens):
+            if self.kind(i) in ("name", "string") and (at := self.operator(i + 1)) is not None:
+                quoted = self.kind(i) == "string"
+                a, b = self.inner(i) if quoted else self.tokens[i][1:]
+                terms, after = self.value(at, quoted)
+                yield self.text[a:b], terms
+                if at > i + 2 and self.kind(at - 1) == "name":  # "note: token = ..." is a type or a target
+                    yield self.word(at - 1), terms
+                # what stands after an operator may be a target itself, as in "a = b = ..."
+                i = at + 1 if self.kind(at + 1) in ("name", "string") and self.operator(at + 2) is not None else after
+            else:
+                i += 1
 
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of literals that reach a sensitive name, directly, in a sum or through constants.
 
-    Constants hold from their assignment on; the last assignment wins.  A sum is scored as the joined text and gives
-    each of its literals.
+    Constants hold from their assignment on; the last assignment wins, also where its value is unknown.  A constant keeps its own literals and
+    refers to the constants it is made of, so none is copied and none is too long.  A sum is scored as the joined text of its different literals and
+    gives each of them.
     """
     if "=" not in text and ":" not in text:
         return []
     lower = text.lower()
     if not any(p in lower for p in _HINTS):
         return []
-    constants: dict[str, list[tuple[int, int]]] = {}
+    constants: dict[str, list] = {}  # terms: (start, end), or the terms of another constant
     found = set()
-    for name, values in pairs(text):
-        spans: list[tuple[int, int]] = []
+    for name, values in Source(text).assignments():
+        terms: list = []
         for v in values:
             if v[0] == "literal":
-                spans.append(v[1:])
+                terms.append(v[1:])
             elif v[1] in constants:
-                spans += constants[v[1]]
-            else:
-                spans.append(v[2:])
-                constants.pop(name, None)
-        resolved = [s for v, s in zip(values, spans, strict=False)] if len(values) == len(spans) else spans
-        if not resolved:
-            continue
-        if len(resolved) <= 16:
-            constants[name] = resolved
+                terms.append(constants[v[1]])
+            elif v[2]:
+                terms.append(v[2])
+        constants[name] = terms
         weight = name_score(name)
-        if weight and weight + literal_score("".join(text[a:b] for a, b in resolved)) >= LEAST_SCORE:
-            found |= {(a, 3, b) for a, b in resolved if b > a}
+        if weight and terms:
+            spans = resolved(terms)
+            if weight + literal_score("".join(text[a:b] for a, b in spans)) >= LEAST_SCORE:
+                found |= {(a, 3, b) for a, b in spans if b > a}
     return sorted(found)
 
 
+def resolved(terms: list) -> list[tuple[int, int]]:
+    """The different literals below ``terms`` in order."""
+    out, seen, left = {}, set(), [terms]
+    while left:
+        term = left.pop()
+        if isinstance(term, tuple):
+            out[term] = None
+        elif id(term) not in seen:
+            seen.add(id(term))
+            left += reversed(term)
+    return list(out)
+
+
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 

@@ -25,6 +25,26 @@ def names(text):
     ("password = ${DB_PASSWORD}", []),
     (f'colour = "{VALUE}"', []),
     ("the secret: nobody knows it", []),
+    (f'api_key: str = "{VALUE}"', [VALUE]),
+    (f'const apiKey: string | null = "{VALUE}";', [VALUE]),
+    (f'x: dict[str] = "{VALUE}"\nsigning = x', [VALUE]),
+    (f'signing = ("{VALUE}")', [VALUE]),
+    (f'signing = "{VALUE[:8]}" +\n    "{VALUE[8:]}"', [VALUE[:8], VALUE[8:]]),
+    (f'signing = ("{VALUE[:8]}"\n    "{VALUE[8:]}")', [VALUE[:8], VALUE[8:]]),
+    (f'signing = "{VALUE[:8]}" \\\n + "{VALUE[8:]}"', [VALUE[:8], VALUE[8:]]),
+    (f'signing = """{VALUE}"""', [VALUE]),
+    (f"signing = b'{VALUE}'", [VALUE]),
+    (f'os.environ["SIGNING_KEY"] = "{VALUE}"', [VALUE]),
+    ("password = getPasswordFromVault9", []),
+    ("password = getPasswordFromVault9()", []),
+    ("connect(password=getPasswordFromVault9, user=x)", []),
+    ("password=getPasswordFromVault9", ["getPasswordFromVault9"]),
+    (f"auth_token: {VALUE}\nname: x", [VALUE]),
+    ("token = ghp_aB3xY7/kQ9mZ2wP5t", ["ghp_aB3xY7/kQ9mZ2wP5t"]),
+    (f'K = "{VALUE}"\nK = read()\ntoken = K', []),
+    (f'K = "{VALUE}"\nK = ' + " + ".join(f'"{c}{k:02}"' for k, c in enumerate("abcdefghijklmnopq")) + "\nauth_token = K", [f"{c}{k:02}" for k, c in enumerate("abcdefghijklmnopq")]),
+    (f'K = "{VALUE}"\n' + "K = K + K\n" * 200 + "token = K", [VALUE]),
+    (f'note: token = "{VALUE}"', [VALUE]),
     ("", []),
 ])
 def test_literals_by_their_names(text, want):
