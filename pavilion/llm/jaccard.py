@@ -116,11 +116,14 @@ def once(docs: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame, words: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
-    """doc_id, row_id, text_hash, n, node and signatures of every document."""
+    """doc_id, row_id, text_hash, n, node and signatures of every document; of equal sets in one slice only the first carries signatures."""
     def run(batch):
         sets = [shingles(t, words) for t in texts(batch)]
-        return {c: batch.column(c) for c in ("doc_id", "row_id", "text_hash")} | {"n": [len(s) for s in sets],
-                "node": [node_of(s) for s in sets], "signatures": pa.array([signatures(s, least) for s in sets], pa.list_(pa.int64()))}
+        nodes = [node_of(s) for s in sets]
+        first = {node: k for k, node in reversed(list(enumerate(nodes)))}
+        keys = [signatures(s, least) if first[node] == k else np.zeros(0, np.int64) for k, (s, node) in enumerate(zip(sets, nodes, strict=True))]
+        return {c: batch.column(c) for c in ("doc_id", "row_id", "text_hash")} | {
+            "n": [len(s) for s in sets], "node": nodes, "signatures": pa.array(keys, pa.list_(pa.int64()))}
 
     return map_texts(docs, ["doc_id", "text", row_id().alias("row_id"), F.xxhash64("text").alias("text_hash")], run,
                      "doc_id long, row_id long, text_hash long, n long, node long, signatures array<long>")
@@ -218,9 +221,9 @@ def regions(described_: DataFrame) -> DataFrame:
     A signature's leader is its smallest node; a region is a leader followed two steps down to its own smallest
     leader, which brings most of what belongs together into one region at the price of two joins.
     """
-    keys = described_.select("node", F.explode("signatures").alias("signature"))
-    leaders = kept(keys.groupBy("signature").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("signature", "leader"))
-    edges = kept(keys.join(leaders, "signature").select("node", "leader").distinct())
+    keys = described_.select("node", F.explode("signatures").alias("signature")).repartition("signature")  # moved once for both uses
+    leaders = keys.groupBy("signature").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("signature", "leader")
+    edges = kept(keys.join(leaders.hint("merge"), "signature").select("node", "leader").distinct())
     lowest = kept(edges.groupBy("node").agg(F.min("leader").alias("low")))
     step = lowest.select(F.col("node").alias("leader"), F.col("low").alias("region"))
     once = edges.join(step, "leader").select("node", F.col("region").alias("leader")).distinct()
