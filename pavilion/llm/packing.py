@@ -154,39 +154,56 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 4, partners: int = 16) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empty bins by local search.
 
     Between two underfull bins a document is moved, or one or two are exchanged for another, whenever the sum of
-    squared fills grows: the fuller bin gains, the emptier one drains.  A bin tries the ``partners`` fullest ones; the
-    search ends after ``rounds`` or a round that changes nothing.
+    squared fills grows: the fuller bin gains, the emptier one drains.  A bin finds the partners that gain among all fuller
+    ones at once and takes the fullest; the search ends when no two bins are left between which anything gains.
     """
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        order = sorted((k for k, b in enumerate(bins) if b and fill[k] < capacity), key=lambda k: fill[k])
+    changed = True
+    while changed:
         changed = False
+        order = sorted((k for k, b in enumerate(bins) if b and fill[k] < capacity), key=lambda k: fill[k])
+        # What may come back from each bin in order: nothing, or one of its documents.
+        back = np.array([n for k in order for n in (0, *(size[i] for i in bins[k]))], np.int64)
+        count = np.array([1 + len(bins[k]) for k in order], np.int64)
+        owner, first = np.repeat(np.arange(len(order)), count), np.cumsum(count)
+        reach = back + np.repeat([capacity - fill[k] for k in order], count) if order else back
         for at, low in enumerate(order):
-            for high in reversed(order[max(at + 1, len(order) - partners):]):
+            while bins[low]:
+                out = _sums([size[i] for i in bins[low]])
+                k = np.searchsorted(out, reach[first[at]:], "right") - 1
+                gains = np.flatnonzero((k >= 0) & (out[k] > back[first[at]:]))
+                if not len(gains):
+                    break
+                partner = int(owner[first[at] + gains[-1]])
+                high = order[partner]
                 while bins[low] and (step := _step(bins[low], bins[high], size, capacity - fill[high])):
-                    out, back = step
-                    gain = sum(size[i] for i in out) - sum(size[i] for i in back)
+                    out, back_ = step
+                    gain = sum(size[i] for i in out) - sum(size[i] for i in back_)
                     for i in out:
                         bins[low].remove(i)
-                    for i in back:
+                    for i in back_:
                         bins[high].remove(i)
                     bins[high] += out
-                    bins[low] += back
+                    bins[low] += back_
                     fill[high] += gain
                     fill[low] -= gain
                     changed = True
-                if not bins[low]:
-                    break
-        if not changed:
-            break
+                reach[owner == partner] = -1  # has changed: asked again in the next round
     return [b for b in bins if b]
 
 
+def _sums(sizes: list[int]) -> np.ndarray:
+    """Ascending sizes of one document or two."""
+    one = np.sort(np.array(sizes, np.int64))
+    a, b = np.triu_indices(len(one), 1)
+    return np.sort(np.concatenate([one, one[a] + one[b]]))
+
+
 def _step(low: list[int], high: list[int], size: list[int], room: int) -> tuple[list[int], list[int]] | None:
     """What to bring from the emptier to the fuller bin and back: the largest gain that fits."""
     if room <= 0:

@@ -141,3 +141,13 @@ def test_sequences_hold_the_ids(spark, small):
         assert len(s.ids) == 4 * s.length <= 4 * packing.CAPACITY
         for a, b in zip(s.offsets, [*s.offsets[1:], s.length]):
             assert want[zlib.crc32(bytes(s.ids[4 * a:4 * b]))] == b - a
+
+
+def test_local_search_leaves_no_partner():
+    """However many bins are fuller, none is left between which a move or an exchange would gain."""
+    sizes = np.random.default_rng(1).integers(300, 1500, 400)
+    bins = packing.improve(packing.best_fit(sizes, 4096), sizes, 4096)
+    fill = [int(sizes[b].sum()) for b in bins]
+    order = sorted((k for k in range(len(bins)) if fill[k] < 4096), key=lambda k: fill[k])
+    assert sorted(i for b in bins for i in b) == list(range(400)) and max(fill) <= 4096 and len(order) > 1
+    assert not any(packing._step(bins[a], bins[b], sizes.tolist(), 4096 - fill[b]) for k, a in enumerate(order) for b in order[k + 1:])
