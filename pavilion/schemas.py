@@ -6,6 +6,8 @@ not cost the document.
 
 from __future__ import annotations
 
+import re
+
 
 def ddl(columns: dict[str, str]) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
@@ -36,7 +38,8 @@ innings array<struct<
       wickets:array<struct<kind:string, player_out:string, fielders:array<struct<name:string>>>>>>>>>>
 """
 
-DOCUMENT_WITH_ERRORS = DOCUMENT.rstrip() + ", _corrupt_record string"
+#: A list of documents, a mark behind it, and what was wrong.
+DOCUMENTS_WITH_ERRORS = f"documents array<struct<{re.sub(r'(\w+) (struct|array)<', r'\1:\2<', DOCUMENT)}>>, read_to_here boolean, _corrupt_record string"
 
 # The columns of the base tables.
 MATCHES = _columns("""

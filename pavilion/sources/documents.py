@@ -11,19 +11,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import canonical_team, canonical_venue, first_seen, flag, whole
-from ..schemas import DELIVERIES, DOCUMENT_WITH_ERRORS, MATCHES
+from ..schemas import DELIVERIES, DOCUMENTS_WITH_ERRORS, MATCHES
 
 
 # ---------------------------------------------------------------- scan
 
 
 def read_documents(spark: SparkSession, path: str, single: str | None = None,
-                   files: str = "*.json", key: str = r"([^/]+)\.json$", nested: bool = False) -> DataFrame:
+                   files: str = "*.json", key: str = r"([^/]+)\.json$", nested: bool = False, compacted: bool = False) -> DataFrame:
     """One row per file under ``path`` whose name matches ``files`` (or only the file ``single``).
 
     The first group of ``key`` in a file's path is its match id; a folder per match
-    is read by ``files="*", key=r"/match_id=([^/]+)/", nested=True``.
+    is read by ``files="*", key=r"/match_id=([^/]+)/", nested=True``.  ``compacted`` files are
+    Parquet and hold many documents each, as columns match_id and text; ``single`` is a match id then.
     """
+    if compacted:
+        texts = spark.read.schema("match_id string, text string").parquet(path)
+        return parse_documents(texts if single is None else texts.where(F.col("match_id") == single))
     reader = spark.read.option("pathGlobFilter", single or files).option("recursiveFileLookup", nested)
     texts = reader.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), key, 1).alias("match_id"), F.col("value").alias("text"))
@@ -35,14 +39,15 @@ def parse_documents(texts: DataFrame, match_id: str = "match_id", text: str = "t
 
     Returns (match_id, doc, reason): ``reason`` is NULL for a usable document.
     The parser stops after the first value of a text; that the text is one object
-    and nothing else is seen by reading it as the only element of a list.
+    and nothing else is seen by reading it, once, as the only element of a list with a mark behind it.
     """
+    listed = F.concat(F.lit('{"documents":['), F.col(text), F.lit('],"read_to_here":true}'))
     read = F.from_json(
-        F.col(text), DOCUMENT_WITH_ERRORS,
+        listed, DOCUMENTS_WITH_ERRORS,
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "allowSingleQuotes": "false"},
     )
-    alone = (F.json_array_length(F.concat(F.lit("["), F.col(text), F.lit("]"))) == 1) & F.col(text).rlike(r"^\s*\{")
-    doc = F.when(alone, read)
+    only = F.filter(F.array(read), lambda r: r["_corrupt_record"].isNull() & r["read_to_here"] & (F.size(r["documents"]) == 1))
+    doc = F.when(F.col(text).rlike(r"^\s*\{"), F.get(F.get(only, F.lit(0))["documents"], F.lit(0)))
     # Opening a one-element array keeps the parse in one place: a plain projection
     # would be copied into every later filter and column, and each copy parses again.
     parsed = texts.select(F.col(match_id).alias("match_id"), F.explode(F.array(doc)).alias("doc"))
@@ -61,7 +66,7 @@ def _reason(doc: Column) -> Column:
         & has_balls(i),
     )
     return (
-        F.when(doc.isNull() | doc["_corrupt_record"].isNotNull(), "malformed json")
+        F.when(doc.isNull(), "malformed json")
         .when(no_over, "delivery without over")
         .when(open_powerplay, "powerplay without from or to")
     )

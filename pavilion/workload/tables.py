@@ -24,10 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task of work that is dear by the row.
+SPREAD_ROWS = 50_000
+
+
 def _spread(df: DataFrame) -> DataFrame:
-    """Use all cores for row-wise work on an input of fewer files than cores."""
+    """Deal rows evenly: to all cores, and to more tasks as the table grows, so that no task does."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-df.count() // SPREAD_ROWS)))  # the count of a table is in its footers
 
 
 def duels(spark: SparkSession, sf_dir: str) -> DataFrame:

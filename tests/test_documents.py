@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pavilion.plans import jobs
 from pavilion.schemas import DELIVERIES, MATCHES
@@ -165,3 +166,36 @@ def test_odd_values_that_are_only_carried_keep_the_document(spark):
 def test_a_text_that_is_not_one_object_is_refused(spark):
     docs = parse_documents(spark.createDataFrame(list(REFUSED.items()), "match_id string, text string"))
     assert {r.match_id: r.reason for r in quarantined(docs).collect()} == dict.fromkeys(REFUSED, "malformed json")
+
+
+def test_compacted_files_hold_many_documents(spark, folder, tmp_path):
+    """The number of files need not be that of matches; one match may be asked for."""
+    each = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).selectExpr("regexp_extract(_metadata.file_path, '([^/]+)[.]json$', 1) AS match_id", "value AS text")
+    each.coalesce(1).write.parquet(f"{tmp_path}/compacted")
+    got, want = (sorted(map(str, d.collect())) for d in (read_documents(spark, f"{tmp_path}/compacted", compacted=True), read_documents(spark, folder)))
+    assert got == want and len(want) > 1
+    assert [r.match_id for r in read_documents(spark, f"{tmp_path}/compacted", "tie", compacted=True).collect()] == ["tie"]
+
+
+def test_texts_are_parsed_once_and_whole(spark):
+    texts = ['{"info":{}}', ' {"info":{}}\n', '{"info":{}},{"info":{}}', '{"info":{}}]', '{"info":{}}}', '{"info":{}},', '[{"info":{}}]', "null", "", None, '{"info":{}}],"x":[{}', '{"innings":[{"overs":[{"over":"a"}]}]}']
+    df = parse_documents(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "match_id string, text string"))
+    assert [r.match_id for r in usable(df).orderBy(F.col("match_id").cast("int")).collect()] == ["0", "1", "10"]
+    assert "json_array_length" not in df._jdf.queryExecution().toString()
+
+
+def test_dear_rows_are_dealt_to_more_tasks_as_tables_grow(spark, monkeypatch):
+    from pavilion.workload import tables
+    monkeypatch.setattr(tables, "SPREAD_ROWS", 50)
+    assert tables._spread(spark.range(1000, numPartitions=2)).rdd.getNumPartitions() == 20
+
+
+def test_documents_of_fixtures_are_compacted(spark):
+    from pathlib import Path
+    from pavilion.workload import ingest_queries
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).is_dir():
+        pytest.skip("driver tables are not here")
+    path = ingest_queries._document_files(spark, sf)
+    assert spark.read.parquet(path).count() > 2 * len(list(Path(path).glob("part-*")))
+    assert [p.name for p in Path(ingest_queries._document_file(spark, path, "7")).glob("part-*.txt")]
