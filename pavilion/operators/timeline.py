@@ -94,7 +94,9 @@ def state_before(
     here = Window.partitionBy(*keys, slot).orderBy(*order)
     earlier = here.rowsBetween(Window.unboundedPreceding, -1)
     # Of a tail, rows that count lie in a window of their own, where the last n are a frame; what they hold is carried to all
-    # rows behind them.  Every window lies on (key, slot), so the rows are sorted anew but do not move.
+    # rows behind them.  The rows are dealt by (key, slot) first: every window lies on it, so they are sorted anew but do not move.
+    if tails:
+        values = values.repartition(*keys, slot)
     for name, t in tails.items():
         counts = Window.partitionBy(*keys, slot, F.col(f"_t_{name}").isNotNull()).orderBy(*order).rowsBetween(1 - t.n, 0)
         values = values.withColumn(f"_e_{name}", F.when(F.col(f"_t_{name}").isNotNull(), F.collect_list(f"_t_{name}").over(counts)))

@@ -11,6 +11,7 @@ from ..operators.timeline import by_date, placed
 from ..plans import jobs
 from ..plans.features import match_features
 from ..schemas import DELIVERIES, MATCHES
+from ..session import written
 from ..sources.tables import write_table
 from . import tables
 from .ingest_queries import BATTING_SQL, BOWLING_SQL, PHASE_SQL, written_path
@@ -165,7 +166,8 @@ def built_match_features(spark, sf_dir):
 
 
 def features(spark, sf_dir):
-    return match_features(tables.fixtures(spark, sf_dir), tables.balls(spark, sf_dir), tables.FIXTURE_HOMES)
+    matches = written(tables.fixtures(spark, sf_dir), "fixtures")  # counted, and then placed
+    return match_features(matches, tables.balls(spark, sf_dir), tables.FIXTURE_HOMES)
 
 
 # ---------------------------------------------------------------- players

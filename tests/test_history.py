@@ -133,3 +133,13 @@ def test_state_before_matches_a_plain_walk(spark, slots):
 def test_slots_grow_with_the_table():
     assert [_slots_for(n, 8) for n in (0, 4_999, 10_000, 10**6)] == [1, 1, 2, 8]
     assert _slots_for(250 * ROWS_PER_SLOT, 8) == 250
+
+
+def test_rows_move_once_for_all_tails(spark):
+    values = spark.range(100).selectExpr("id AS seq", "CAST(id % 3 AS STRING) AS team", "CAST(id DIV 50 AS INT) AS slot", "id AS v")
+
+    def moves(n):
+        tails = {f"t{k}": Tail(F.when(F.col("v") % (k + 2) == 0, F.col("v")), 3) for k in range(n)}
+        return state_before(values, ["team"], tails=tails)._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    assert moves(4) == moves(1)
