@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pavilion.session import shared_folder
+from pavilion.session import shared_folder, shuffles_released
 
 #: Bytes of text that a Python worker takes at once.
 BATCH_BYTES = 4 << 20
@@ -23,12 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the cluster's shared folder."""
+    """Cut lineage by a reliable checkpoint in the cluster's shared folder; what it shuffled is deleted with its end."""
     shared_folder(df.sparkSession)
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+    with shuffles_released(df.sparkSession):
+        return df.select("*").checkpoint()  # a query that begins here
 
 
 def crc_mod(col: Column, n: int) -> Column:

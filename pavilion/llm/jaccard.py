@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pavilion.session import leaving_nothing, shuffles_released, written
+
 from .common import kept, map_texts, text_slices, texts, worker_table
 
 #: Words of a shingle, and the least similarity as (over, under), unless the caller gives others.
@@ -230,18 +232,18 @@ def regions(described_: DataFrame) -> DataFrame:
     return once.join(step, "leader").select("node", "region").distinct()
 
 
-def links(docs: DataFrame, rows: DataFrame, words: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, found: DataFrame, words: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
     """a, b: pairs of nodes of one class, b the smallest of its task, which connect all linked nodes.
 
-    Small regions are dealt into tasks by hash; a region above ``TASK_TOKENS`` is cut into blocks of half that by hash and
+    ``rows`` has the node of every document, ``found`` the regions of nodes.  Small regions are dealt into tasks by hash; a region above ``TASK_TOKENS`` is cut into blocks of half that by hash and
     every two blocks are a task, so no task grows with a region.  Texts are read again for the nodes of regions only.
     """
-    found = kept(regions(rows))
     first = rows.groupBy("node").agg(F.min(F.struct("row_id", "text_hash")).alias("at"), F.max("n").alias("n"))
     nodes = kept(found.select("node").distinct().join(first, "node").select("node", "n", "at.row_id", "at.text_hash"))
     sized = kept(found.join(nodes.select("node", "n"), "node"))
     weights = kept(sized.groupBy("region").agg(F.sum("n").alias("weight")))
-    total = weights.agg(F.sum("weight")).first()[0] or 0
+    with shuffles_released(docs.sparkSession):
+        total = weights.agg(F.sum("weight")).first()[0] or 0
     tasks = max(1, -(-int(total) // TASK_TOKENS))
     big = F.col("weight") > TASK_TOKENS
     blocks = F.when(big, F.ceil(F.col("weight") * 2 / F.lit(float(TASK_TOKENS)))).otherwise(1).cast("int")
@@ -251,8 +253,8 @@ def links(docs: DataFrame, rows: DataFrame, words: int = SHINGLE, least: tuple[i
     placed = placed.select(
         "node", F.when(big, F.col("region")).otherwise(F.pmod(F.xxhash64("region"), F.lit(tasks))).alias("task"),
         F.when(big, F.least("own", "other")).otherwise(-1).alias("i"), F.when(big, F.greatest("own", "other")).otherwise(-1).alias("j")).distinct()
-    read = once(docs.select("doc_id", "text").where("text is not null")).join(nodes, ["row_id", "text_hash"]).select("node", "text")
-    inputs = placed.join(read, "node")
+    placed = placed.join(nodes.drop("n"), "node")
+    inputs = once(docs.select("doc_id", "text").where("text is not null")).join(placed, ["row_id", "text_hash"])  # a text moves once to here, then to its tasks
 
     def run(group: pa.Table) -> pa.Table:
         node, sets, seen = [], [], set()
@@ -290,9 +292,15 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def placed_in_classes(docs: DataFrame, words: int = SHINGLE, least: tuple[int, int] = LEAST) -> tuple[DataFrame, DataFrame]:
-    """All documents (doc_id, row_id, text_hash, n, ...), and those with a shingle once more with the root of their class."""
-    rows = kept(described(docs, words, least))
-    roots = components(links(docs, rows, words, least))
+    """All documents (doc_id, row_id, text_hash, n, ...), and those with a shingle once more with the root of their class.
+
+    Signatures take about as much room as the documents; they are deleted when the regions are known.
+    """
+    with leaving_nothing(docs.sparkSession):
+        signed = written(described(docs, words, least), "signatures")
+        rows = kept(signed.drop("signatures"))
+        found = kept(regions(signed))
+    roots = components(links(docs, rows, found, words, least))
     full = rows.where("n > 0").select("doc_id", "row_id", "text_hash", "n", "node").join(roots, "node", "left")
     return rows, kept(full.withColumn("root", F.coalesce("root", "node")))
 

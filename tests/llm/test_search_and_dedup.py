@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -7,6 +9,7 @@ import pytest
 
 from pavilion.llm import ann, jaccard, spans
 from pavilion.llm.common import table
+from pavilion.session import shared_folder
 from pyspark.sql import functions as F
 
 
@@ -93,6 +96,23 @@ def test_representatives(spark, odd_docs, no_docs):
     assert jaccard.classes(odd_docs).count() == 9
 
 
+def test_classes_leave_no_shuffles_and_no_signatures(spark):
+    rng = random.Random(9)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(30)]
+    docs = spark.createDataFrame([(3 * k + e, edited(rng, w, e)) for k, w in enumerate(words) for e in range(3)], "doc_id long, text string")
+    homes = [Path(h) for h in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shuffles = lambda: {p for h in homes for p in h.glob("*/shuffle_*.data")}
+    folder = Path(shared_folder(spark).removeprefix("file:"), spark.sparkContext.applicationId)
+    signatures = lambda: set(folder.glob("signatures-*"))
+    before = shuffles(), signatures()
+    rows, full = jaccard.placed_in_classes(docs)
+    until = time.time() + 20
+    while shuffles() - before[0] and time.time() < until:  # Spark deletes them when it finds time
+        time.sleep(0.2)
+    assert not shuffles() - before[0] and not signatures() - before[1]
+    assert rows.count() == full.count() == 90 and full.select("root").distinct().count() < 90
+
+
 def brute_near(rows, k):
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     out = {}
