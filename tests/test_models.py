@@ -206,3 +206,22 @@ def test_medians_are_exact(spark):
     got = models.medians(table, ["a", "b", "c", "d"]).first()
     want = [statistics.median(v for v in col if v is not None and v == v) for col in list(zip(*values))[:2]]
     assert list(got) == [*want, 0.0, 1.0]
+
+
+@pytest.mark.parametrize("missed", [False, True])
+def test_medians_walk_only_what_lies_around_them(spark, monkeypatch, missed):
+    r = np.random.default_rng(6)
+    values = np.column_stack([r.normal(size=4_001), r.integers(0, 2, 4_001), r.permutation(4_001) * 3.0])
+    table = spark.createDataFrame([(*map(float, v), None) for v in values], "a double, b double, c double, d double").repartition(3)
+    walked = []
+    monkeypatch.setattr(models, "placed", lambda counts, *a, **k: walked.append(counts.count()) or placed(counts, *a, **k))
+    if missed:  # bounds that are wrong cost time, not the result
+        monkeypatch.setattr(F, "percentile_approx", lambda c, *_: F.when(F.max(c).isNotNull(), F.array(F.max(c), F.max(c))))
+    assert list(models.medians(table, ["a", "b", "c", "d"]).first()) == [*np.median(values, axis=0), 0.0]
+    assert walked[0] > 8_000 if missed else walked[0] < 1_000
+
+
+def test_medians_of_nothing(spark):
+    none = spark.createDataFrame([], "a double, b double")
+    assert list(models.medians(none, ["a", "b"]).first()) == [0.0, 0.0]
+    assert models.medians(spark.createDataFrame([(2.0,), (5.0,)], "a double"), ["a"]).first()[0] == 3.5
