@@ -236,7 +236,8 @@ def links(docs: DataFrame, rows: DataFrame, found: DataFrame, words: int = SHING
     """a, b: pairs of nodes of one class, b the smallest of its task, which connect all linked nodes.
 
     ``rows`` has the node of every document, ``found`` the regions of nodes.  Small regions are dealt into tasks by hash; a region above ``TASK_TOKENS`` is cut into blocks of half that by hash and
-    every two blocks are a task, so no task grows with a region.  Texts are read again for the nodes of regions only.
+    every two blocks are a task, so no task grows with a region.  A text goes to all its tasks; these run in waves, each of
+    which moves about as many tokens as the documents have.  Texts are read again for the nodes of regions only.
     """
     first = rows.groupBy("node").agg(F.min(F.struct("row_id", "text_hash")).alias("at"), F.max("n").alias("n"))
     nodes = kept(found.select("node").distinct().join(first, "node").select("node", "n", "at.row_id", "at.text_hash"))
@@ -253,8 +254,10 @@ def links(docs: DataFrame, rows: DataFrame, found: DataFrame, words: int = SHING
     placed = placed.select(
         "node", F.when(big, F.col("region")).otherwise(F.pmod(F.xxhash64("region"), F.lit(tasks))).alias("task"),
         F.when(big, F.least("own", "other")).otherwise(-1).alias("i"), F.when(big, F.greatest("own", "other")).otherwise(-1).alias("j")).distinct()
-    placed = placed.join(nodes.drop("n"), "node")
-    inputs = once(docs.select("doc_id", "text").where("text is not null")).join(placed, ["row_id", "text_hash"])  # a text moves once to here, then to its tasks
+    placed = kept(placed.join(nodes, "node"))
+    with shuffles_released(docs.sparkSession):
+        moved, every = placed.agg(F.sum("n")).first()[0] or 0, rows.agg(F.sum("n")).first()[0] or 0
+    waves = max(1, -(-int(moved) // max(1, int(every))))
 
     def run(group: pa.Table) -> pa.Table:
         node, sets, seen = [], [], set()
@@ -271,7 +274,13 @@ def links(docs: DataFrame, rows: DataFrame, found: DataFrame, words: int = SHING
         pairs = [(node[k], node[classes.find(k)]) for k in range(len(node)) if classes.find(k) != k]
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
-    return inputs.select("task", "i", "j", "node", "text").groupBy("task", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    pairs = None
+    for wave in range(waves):
+        own = placed.where(F.pmod(F.xxhash64("task", "i", "j"), F.lit(waves)) == wave).drop("n")
+        inputs = once(docs.select("doc_id", "text").where("text is not null")).join(own, ["row_id", "text_hash"])  # a text moves once to here, then to its tasks
+        got = kept(inputs.select("task", "i", "j", "node", "text").groupBy("task", "i", "j").applyInArrow(run, "a long, b long").distinct())
+        pairs = got if pairs is None else pairs.union(got)
+    return pairs.distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:

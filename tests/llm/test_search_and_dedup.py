@@ -1,5 +1,6 @@
 import random
 import re
+import sys
 import time
 from pathlib import Path
 
@@ -113,6 +114,17 @@ def test_classes_leave_no_shuffles_and_no_signatures(spark):
     assert rows.count() == full.count() == 90 and full.select("root").distinct().count() < 90
 
 
+def test_texts_of_many_tasks_move_in_waves(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(k, edited(rng, words, k % 5)) for k in range(60)]
+    made, own = [], jaccard.kept
+    monkeypatch.setattr(jaccard, "TASK_TOKENS", 2_000)  # a region of many blocks: each text goes to several tasks
+    monkeypatch.setattr(jaccard, "kept", lambda df: (made.append(sys._getframe(1).f_code.co_name + " ".join(df.columns)), own(df))[1])
+    check_classes(spark, rows)
+    assert made.count("linksa b") > 1
+
+
 def brute_near(rows, k):
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     out = {}
